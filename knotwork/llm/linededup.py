@@ -15,17 +15,21 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("rk", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
+def _half(n: F.Column) -> F.Column:
+    return (F.floor(n / 16) * 8).cast("int")
+
+
 def _half_keys(line: F.Column, n: F.Column) -> F.Column:
-    """Keys of which two lines within one edit share one: an edit leaves the first or the last H characters as they are.
+    """(side, key) of which two lines within one edit share one: an edit leaves the first or the last H characters as they are.
 
     H is half the length in steps of 8. A key names the length of the shorter line of the pairs it is for, so a line
     has keys for its own length and for its length less one; lines that share a key differ in length by one at most.
     """
     keys = []
     for less in (0, 1):
-        h = (F.floor((n - less) / 16) * 8).cast("int")
+        h = _half(n - less)
         for side, part in ((0, F.left(line, h)), (1, F.right(line, h))):
-            keys.append(F.xxhash64(F.lit(side), n - less, part))
+            keys.append(F.struct(F.lit(side).alias("side"), F.xxhash64(F.lit(side), n - less, part).alias("k")))
     return F.array(*keys)
 
 
@@ -35,16 +39,21 @@ def kept_lines(docs: DataFrame, min_chars: int = 24) -> DataFrame:
     short = lines.filter(F.length("line") < min_chars).select("rk", "line_no")
     long = lines.filter(F.length("line") >= min_chars).withColumn("h", F.xxhash64("line")).withColumn("pos", F.struct("doc_id", "rk", "line_no"))
     # Which distinct lines have a partner with which they share a key: longs only, summed up before the shuffle.
-    keys = long.select("h", F.explode(_half_keys(F.col("line"), F.length("line"))).alias("k"))
+    keys = long.select("h", F.explode(_half_keys(F.col("line"), F.length("line"))).alias("x")).select("h", "x.side", "x.k").groupBy("k", "side", "h").agg(F.lit(1).alias("one"))
     hot = keys.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("k")
-    cand = stored(keys.groupBy("k", "h").agg(F.lit(1).alias("one")).join(hot, "k").select("h").distinct(), "lines-cand")
+    cand = keys.join(hot, "k").groupBy("h").agg((F.max(1 - F.col("side")) == 1).alias("tail"), (F.max("side") == 1).alias("head"))
+    cand = stored(cand, "lines-cand")
     n = cand.count()
-    own = long.select("h", "line", "pos").join(F.broadcast(cand) if n <= BROADCAST_ROWS else cand, "h", "left_semi").groupBy("h").agg(F.min("pos").alias("pos"), F.min("line").alias("line"))
-    own = stored(own, "lines-own")
-    # Deletion neighbourhood: at = 0 is the line itself, at = i the line without its i-th character.
+    own = long.select("h", "line", "pos").join(F.broadcast(cand) if n <= BROADCAST_ROWS else cand, "h").groupBy("h", "head", "tail").agg(F.min("pos").alias("pos"), F.min("line").alias("line"))
+    own = stored(own, "lines-own").repartition("h")
+    # Deletion neighbourhood: at = 0 is the line itself, at = i the line without its i-th character. Where the first H
+    # characters are shared, the edit is behind them, and so for the last. Four bytes a character, so that cuts need no scan.
     size = F.length("line")
-    variant = F.transform(F.sequence(F.lit(0), size), lambda i: F.when(i == 0, F.xxhash64("line")).otherwise(F.xxhash64(F.concat(F.left("line", i - 1), F.right("line", size - i)))))
-    var = own.select("h", "pos", F.posexplode(variant).alias("at", "v"))
+    wide = own.withColumn("w", F.encode("line", "UTF-32")).withColumn("n", size).withColumn("h0", _half(size - 1))
+    places = F.filter(F.sequence(F.lit(0), F.col("n")), lambda i: (i == 0) | (F.col("tail") & (i > F.col("h0"))) | (F.col("head") & (i <= F.col("n") - F.col("h0"))))
+    cut = lambda i: F.xxhash64(F.when(i == 0, F.col("w")).otherwise(F.concat(F.substring("w", F.lit(1), 4 * i - 4), F.substring("w", 4 * i + 1, 4 * F.col("n")))))
+    var = wide.select("h", "pos", F.explode(F.transform(places, lambda i: F.struct(i.alias("at"), cut(i).alias("v")))).alias("x")).select("h", "pos", "x.at", "x.v")
+    var = stored(var, "variants")
     e = F.struct("pos", "h")
     # One substitution: equal variants at one place. The earliest of the group stands for all that come later.
     same = var.filter("at > 0").groupBy("v", "at").agg(F.min(e).alias("e"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("v", "at", "e")

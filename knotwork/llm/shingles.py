@@ -1,6 +1,6 @@
 """N-gram Jaccard join over word shingles: prefix filter for candidates, prefix-tree join to decide them.
 
-Sets are 64-bit hashes of shingles in one global order: shingles that are frequent anywhere come last, the others
+Sets are 48-bit hashes of shingles in one global order: shingles that are frequent anywhere come last, the others
 are ordered by hash. Any order gives exact results; this one keeps passages that many documents share out of the
 prefixes. A set is known by a 64-bit key of its members, so exact copies are one set from the start.
 """
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .common import components, dropped, keyed, mix, slices, stored
 
 #: Shingles in HEAVY_DOCS sets or more of a block are reported as frequent, at most HEAVY_BLOCK a block; the HEAVY most frequent of all make the tail of the order.
-HEAVY_DOCS, HEAVY_BLOCK, HEAVY = 6, 8192, 1 << 17
-BLOCK_BYTES = 24 << 20
+HEAVY_DOCS, HEAVY_BLOCK, HEAVY = 4, 8192, 1 << 17
+BLOCK_BYTES = 6 << 20
 #: So many sets at most are tried against one set in one group.
 TRIE_SETS = 256
 _SEED = np.random.default_rng(20240531)
@@ -33,6 +33,10 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
 
 
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_TABLE = 1 << 23
+_POWER, _INVERSE = _powers(_TABLE, _BASE), _powers(_TABLE, _INV)
+#: Pairs up to so many (about 40 bytes each) are broadcast to the texts; more are joined by a shuffle.
+BROADCAST_PAIRS = 400_000
 
 
 def word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,9 +51,10 @@ def word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if not len(a):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
-        power = _powers(len(buf), _BASE)
-        total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[low] * power, dtype=np.uint64)])
-        h = (total[b] - total[a]) * _powers(len(buf), _INV)[a]
+        power, inverse = (_POWER[: len(buf)], _INVERSE) if len(buf) <= _TABLE else (_powers(len(buf), _BASE), _powers(len(buf), _INV))
+        total = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(_BYTE[low] * power, dtype=np.uint64, out=total[1:])
+        h = (total[b] - total[a]) * inverse[a]
         return mix(h + (b - a).astype(np.uint64)), np.searchsorted(off, a, "right") - 1
 
 
@@ -61,21 +66,21 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
     h, text = word_hashes(raw[off[0] : off[-1]], off - off[0])
     words = np.bincount(text, minlength=n)
+    owner, hashes = [np.flatnonzero((words > 0) & (words < k))], []
     first = np.cumsum(words) - words
-    count = np.where(words >= k, words - k + 1, (words > 0).astype(np.int64))
-    owner = np.repeat(np.arange(n), count)
-    at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + first[owner]
-    width = np.minimum(words, k)[owner]
     with np.errstate(over="ignore"):
-        s = width.astype(np.uint64)
-        for j in range(k):
-            s = np.where(j < width, mix(s + h[np.minimum(at + j, len(h) - 1)] * np.uint64(2 * j + 3)), s) if len(h) else s
-    order = np.lexsort((s, owner))
-    s, owner = s[order], owner[order]
-    new = np.ones(len(s), bool)
-    new[1:] = (s[1:] != s[:-1]) | (owner[1:] != owner[:-1])
-    s, owner = s[new], owner[new]
-    return s, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))])
+        odd = np.random.default_rng(k).integers(1, 1 << 63, k, dtype=np.uint64) | np.uint64(1)
+        hashes.append(mix(np.array([(h[first[i] : first[i] + words[i]] * odd[: words[i]]).sum(dtype=np.uint64) + np.uint64(words[i]) for i in owner[0]], np.uint64)))
+        if len(h) >= k:
+            s = h[: len(h) - k + 1] * odd[0]
+            for j in range(1, k):
+                s += h[j : len(h) - k + 1 + j] * odd[j]
+            whole = text[: len(s)] == text[k - 1 :]
+            owner.append(text[: len(s)][whole])
+            hashes.append(mix(s[whole] + np.uint64(k)))
+    # one sort of (text, 48 bits of hash); a block has fewer than 2^16 texts
+    key = np.unique(np.concatenate(owner).astype(np.uint64) << np.uint64(48) | np.concatenate(hashes) >> np.uint64(16)) if n else np.zeros(0, np.uint64)
+    return key & np.uint64((1 << 48) - 1), np.concatenate([[0], np.cumsum(np.bincount((key >> np.uint64(48)).astype(np.int64), minlength=n))])
 
 
 def set_keys(s: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -127,10 +132,10 @@ def trie_join(x: np.ndarray, others: list[tuple[int, np.ndarray]], num: int, den
 def _blocks(batches):
     ids, texts, held = [], [], 0
     for batch in batches:
-        for b in slices(batch, "text"):
+        for b in slices(batch, "text", BLOCK_BYTES):
             ids.append(b.column("rk"))
             texts.append(b.column("text"))
-            held += b.column("text").nbytes
+            held += b.column("text").nbytes + 128 * len(b)
             if held >= BLOCK_BYTES:
                 yield pa.concat_arrays(ids), pa.concat_arrays(texts)
                 ids, texts, held = [], [], 0
@@ -188,8 +193,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     post = text.mapInArrow(prefixes, "t long, k long, n int").select("*", F.lag("k").over(w).alias("pk"), F.lag("n").over(w).alias("pn"), F.lead("k").over(w).alias("nk"))
     shared = stored(post.filter("pk <> k or nk <> k"), "shared")
     first = shared.filter((F.col("pk") != F.col("k")) & near("pn", "n")).select(F.col("pk").alias("x"), F.col("k").alias("y")).distinct()
-    sets = stored(_sets(text, rows, shared, k, heavy), "members")
-    links = stored(_verified(first, sets, num, den), "links1")
+    one = rows.groupBy("set_key").agg(F.min("rk").alias("rk"))
+    links = stored(_verified(first, text, one, k, num, den), "links1")
     comp = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), "cc1")
     # What may still join two components: shingles whose sets are in more than one.
     label = shared.select("t", "k", "n").distinct().join(comp, F.col("k") == F.col("node"), "left").select("t", "k", "n", F.coalesce("component", "k").alias("c"))
@@ -198,7 +203,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     open_ = label.join(mixed, "t")
     right = open_.select("t", F.col("k").alias("y"), F.col("n").alias("yn"), F.col("c").alias("yc"))
     second = open_.join(right, "t").filter("c <> yc and (n < yn or (n = yn and k < y))").filter(near("n", "yn")).select(F.col("k").alias("x"), "y").distinct()
-    more = stored(_verified(second.join(first, ["x", "y"], "left_anti"), sets, num, den), "links2")
+    more = stored(_verified(second.join(first, ["x", "y"], "left_anti"), text, one, k, num, den), "links2")
     comp = components(links.unionByName(more).select(F.col("x").alias("u"), F.col("y").alias("v")), "cc2")
     # Back to rows: a set's component, then the smallest doc_id of all rows in it. An empty set is alone.
     ids = src.select("rk", "doc_id")
@@ -209,31 +214,37 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     return out.join(low, "c", "left").select("doc_id", "n_shingles", linked.alias("component_id"), "set_key", "rk")
 
 
-def _sets(text: DataFrame, rows: DataFrame, shared: DataFrame, k: int, heavy) -> DataFrame:
-    """(k, members) of the sets that share a prefix shingle with another one, from one row each."""
-    one = rows.groupBy("set_key").agg(F.min("rk").alias("rk"))
-    need = shared.select(F.col("k").alias("set_key")).distinct().join(one, "set_key").select("rk", "set_key")
+def _verified(pairs: DataFrame, text: DataFrame, one: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Those pairs (x, y) of set keys whose sets are similar enough. x's set meets groups of TRIE_SETS others at most.
+
+    one: a row key for each set key; its text gives the set. Texts without a pair are left out before anything is dealt out.
+    """
+    pairs = stored(pairs, "pairs")
+    deg = pairs.groupBy("x").agg(F.count(F.lit(1)).alias("deg"))
+    part = F.pmod(F.xxhash64("y"), F.ceil(F.col("deg") / TRIE_SETS)).cast("int")
+    grouped = pairs.join(deg, "x").select("x", "y", part.alias("part"))
+    todo = grouped.unionByName(grouped.select("x", F.col("x").alias("y"), "part").distinct())
+    todo = stored(todo.join(one, F.col("y") == F.col("set_key")).groupBy("rk", "y").agg(F.collect_set(F.struct("x", "part")).alias("at")), "todo")
+    small = pairs.count() <= BROADCAST_PAIRS
+    mine = text.join(F.broadcast(todo) if small else todo, "rk").select("y", "at", "text")
 
     def members(batches):
         for batch in batches:
             for b in slices(batch, "text", 2 << 20):
                 s, off = shingle_sets(b.column("text"), k)
-                s = _ordered(s, off, heavy.value)
-                m = pa.Array.from_buffers(pa.binary(), len(b), [None, pa.py_buffer((off * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(s).view(np.uint8) if len(s) else b"")])
-                yield pa.RecordBatch.from_arrays([b.column("set_key"), m], names=["k", "members"])
+                six = s.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()  # 48 bits of each member
+                out = [(a["x"], a["part"], a["x"] != y, y, six[6 * off[i] : 6 * off[i + 1]]) for i, (y, at) in enumerate(zip(b.column("y").to_pylist(), b.column("at").to_pylist(), strict=True)) for a in at]
+                for c in range(0, len(out), 500):
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out[c : c + 500], strict=True), (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], names=["x", "part", "other", "y", "members"])
 
-    return text.join(need, "rk").select("set_key", "text").mapInArrow(members, "k long, members binary").dropDuplicates(["k"])
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those pairs (x, y) of set keys whose sets are similar enough. x's set meets groups of TRIE_SETS others at most."""
-    deg = pairs.groupBy("x").agg(F.count(F.lit(1)).alias("deg"))
-    part = F.pmod(F.xxhash64("y"), F.ceil(F.col("deg") / TRIE_SETS)).cast("int")
-    grouped = pairs.join(deg, "x").select("x", "y", part.alias("part"))
-    todo = grouped.unionByName(grouped.select("x", F.col("x").alias("y"), "part").distinct())
-    full = todo.join(sets, F.col("y") == F.col("k")).select("x", "part", (F.col("x") != F.col("y")).alias("other"), "y", "members")
+    full = mine.mapInArrow(members, "x long, part int, other boolean, y long, members binary")
     full = full.repartition("x", "part").sortWithinPartitions("x", "part", "other")
 
+    def unpack(raw) -> np.ndarray:
+        wide = np.zeros((len(raw) // 6, 8), np.uint8)
+        wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+        return wide.view(np.uint64).ravel()
+
     def run(batches):
         cur, x, ys = None, None, []
 
@@ -255,11 +266,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                 if (g, p) != cur:
                     out += decide()
                     cur, x, ys = (g, p), None, []
-                m = np.frombuffer(b.column("members")[i].as_buffer(), np.uint64)
+                m = unpack(b.column("members")[i].as_buffer())
                 if other:
-                    ys.append((y, m.copy()))
+                    ys.append((y, m))
                 else:
-                    x = m.copy()
+                    x = m
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([c for _, c in out], pa.int64())], names=["x", "y"])
         out = decide()
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([c for _, c in out], pa.int64())], names=["x", "y"])
