@@ -162,8 +162,11 @@ def count_pieces(tok, special: set[str], names: list[str]) -> dict[str, int]:
     return {x: 1 if x in special else len(cut(x.encode().decode("latin-1").translate(_BYTES))) for x in names}
 
 
-_POSTINGS = pa.schema([("token", pa.string()), ("block", pa.int64()), ("idx", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("docs", pa.binary())])
-_PARTS = pa.schema([("block", pa.int64()), ("idx", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n", pa.int64())])
+#: A row with a null token holds a block's documents: id, null flag and bytes of each as three runs of long.
+_POSTINGS = pa.schema([("token", pa.string()), ("block", pa.int64()), ("salt", pa.int64()), ("docs", pa.binary())])
+#: facts: such a row again; otherwise sums: a long for each document of the block.
+_PARTS = pa.schema([("block", pa.int64()), ("facts", pa.bool_()), ("sums", pa.binary())])
+_COUNTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame:
@@ -186,12 +189,13 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
             ids, texts = pa.concat_arrays(ids), pa.concat_arrays(texts)
             n = len(texts)
             size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([f"\x00{block}:{i}" for i in range(n)]), pa.array(np.full(n, block)), pa.array(np.arange(n)), ids, size, pa.nulls(n, pa.binary())], schema=_POSTINGS)
+            facts = np.concatenate([pc.fill_null(ids, 0).to_numpy(), pc.is_null(ids).to_numpy(zero_copy_only=False).astype(np.int64), size.to_numpy()]).astype("<i8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([block]), pa.array([block]), pa.array([facts])], schema=_POSTINGS)
             names, tok, doc, freq = _block(split, pc.fill_null(texts, ""))
             packed = _packed(tok, doc, freq)
             for a in range(0, len(names), 50_000):
                 k = min(50_000, len(names) - a)
-                yield pa.RecordBatch.from_arrays([names.slice(a, k), pa.array(np.full(k, block)), *(pa.nulls(k, pa.int64()),) * 3, packed.slice(a, k)], schema=_POSTINGS)
+                yield pa.RecordBatch.from_arrays([names.slice(a, k), pa.array(np.full(k, block)), pa.array(np.zeros(k, np.int64)), packed.slice(a, k)], schema=_POSTINGS)
 
         ids, texts, held, rows = [], [], 0, 0
         for batch in batches:
@@ -214,16 +218,15 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
 
         def flush():
             for block, s in sums.items():
-                at = np.flatnonzero(s)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block)), pa.array(at), *(pa.nulls(len(at), pa.int64()),) * 2, pa.array(s[at])], schema=_PARTS)
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([False]), pa.array([s.astype("<i8").tobytes()])], schema=_PARTS)
             sums.clear()
 
         for b in batches:
-            doc_rows = pc.is_valid(b.column("idx"))
-            d = b.filter(doc_rows)
+            facts = pc.is_null(b.column("token"))
+            d = b.filter(facts)
             if len(d):
-                yield pa.RecordBatch.from_arrays([d.column(c) for c in ("block", "idx", "doc_id", "n_bytes")] + [pa.array(np.zeros(len(d), np.int64))], schema=_PARTS)
-            b = b.filter(pc.invert(doc_rows))
+                yield pa.RecordBatch.from_arrays([d.column("block"), pa.array([True] * len(d)), d.column("docs")], schema=_PARTS)
+            b = b.filter(pc.invert(facts))
             if not len(b):
                 continue
             enc = b.column("token").dictionary_encode()
@@ -252,10 +255,29 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
                 yield from flush()
         yield from flush()
 
+    def counted(batches):
+        """The blocks of a task one after another: facts come first, sums are added up as they come."""
+        cur, facts, total = None, None, None
+
+        def out():
+            if facts is None:
+                return
+            n = len(facts) // 3
+            yield pa.RecordBatch.from_arrays([pa.array(facts[:n], mask=facts[n : 2 * n] > 0), pa.array(facts[2 * n :]), pa.array(total)], schema=_COUNTS)
+
+        for b in batches:
+            for block, is_facts, raw in zip(*(b.column(c).to_pylist() for c in ("block", "facts", "sums")), strict=True):
+                got = np.frombuffer(raw, "<i8").astype(np.int64)
+                if block != cur:
+                    yield from out()
+                    cur, facts = block, None
+                if is_facts:
+                    facts, total = got, np.zeros(len(got) // 3, np.int64)
+                else:
+                    total[: len(got)] += got
+        yield from out()
+
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = read.mapInArrow(postings, "token string, block long, idx long, doc_id long, n_bytes long, docs binary").repartition("token")
-    parts = dealt.mapInArrow(summed, "block long, idx long, doc_id long, n_bytes long, n long")
-    n = F.sum("n")
-    return parts.groupBy("block", "idx").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), n.alias("n_tokens")).select(
-        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
-    )
+    dealt = read.mapInArrow(postings, "token string, block long, salt long, docs binary").repartition("token", "salt")
+    parts = dealt.mapInArrow(summed, "block long, facts boolean, sums binary").repartition("block").sortWithinPartitions("block", F.desc("facts"))
+    return parts.mapInArrow(counted, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
