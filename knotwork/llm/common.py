@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..core.store import components, dropped, shared_dir, stored
 
-__all__ = ["components", "crc_of_id", "dropped", "keyed", "mix", "shared_dir", "slices", "stored"]
+__all__ = ["BASE", "INV", "INVERSE", "POWER", "TABLE", "components", "crc_of_id", "dropped", "keyed", "mix", "powers", "shared_dir", "slices", "stored"]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -51,3 +51,19 @@ def mix(x: np.ndarray) -> np.ndarray:
         x *= np.uint64(0xC4CEB9FE1A85EC53)
         x ^= x >> np.uint64(33)
     return x
+
+
+def powers(n: int, base: np.uint64) -> np.ndarray:
+    """base^0 ... base^(n-1) modulo 2^64."""
+    out = np.full(n, base, np.uint64)
+    if n:
+        out[0] = 1
+    with np.errstate(over="ignore"):
+        return np.cumprod(out, dtype=np.uint64)
+
+
+#: Powers of one odd base and of its inverse, for rolling hashes over blocks of TABLE bytes at most; 32 MB in each worker.
+TABLE = 1 << 21
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INV = np.uint64(pow(int(BASE), -1, 1 << 64))
+POWER, INVERSE = powers(TABLE + 1, BASE), powers(TABLE + 1, INV)

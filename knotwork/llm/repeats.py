@@ -19,21 +19,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, keyed, mix, slices, stored
-from .shingles import _INV, _powers
+from .common import INVERSE, POWER, TABLE, dropped, keyed, mix, slices, stored
 
 MIN_LENGTH, GRAM = 400, 48
 _T = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 CELL = 64
 #: Symbols that one transform takes, about; a core with more than HOT_CELLS different cells goes by hashed strings instead, which can be split over tasks.
 TRANSFORM, HOT_CELLS = 1 << 19, 4096
-_POWER, _INVERSE = _powers((1 << 23) + 1, _BASE), _powers((1 << 23) + 1, _INV)
 
 
 def _hash(sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix((sums[b] - sums[a]) * _INVERSE[a] + (b - a).astype(np.uint64))
+        return mix((sums[b] - sums[a]) * INVERSE[a] + (b - a).astype(np.uint64))
 
 
 def _smallest(h: np.ndarray, w: int) -> np.ndarray:
@@ -47,13 +44,13 @@ def _smallest(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def contexts(buf: np.ndarray, off: np.ndarray, length: int = MIN_LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Of the texts in buf (cut at off, 2^23 bytes at most): number of the text, anchor hash, anchor place, first and last start of the strings of length bytes with that anchor (places in the text), hash of the context."""
+    """Of the texts in buf (cut at off, TABLE bytes at most): number of the text, anchor hash, anchor place, first and last start of the strings of length bytes with that anchor (places in the text), hash of the context."""
     n = len(buf)
     if n < length:
         return (np.zeros(0, np.int64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3, np.zeros(0, np.uint64))
     with np.errstate(over="ignore"):
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(_T[buf] * _POWER[:n], dtype=np.uint64)])
-        g = (sums[gram:] - sums[: n - gram + 1]) * _INVERSE[: n - gram + 1] + np.uint64(gram)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(_T[buf] * POWER[:n], dtype=np.uint64)])
+        g = (sums[gram:] - sums[: n - gram + 1]) * INVERSE[: n - gram + 1] + np.uint64(gram)
     h = mix(g)
     place = _smallest(h, length - gram + 1)
     owner = np.repeat(np.arange(len(off) - 1), np.diff(off))[: len(place)]
@@ -68,7 +65,7 @@ def contexts(buf: np.ndarray, off: np.ndarray, length: int = MIN_LENGTH, gram: i
     return own, h[pos], pos - base, first - base, stop - base, ctx
 
 
-def _pieces(ids: pa.Array, texts: pa.Array, length: int = MIN_LENGTH, limit: int = 1 << 23):
+def _pieces(ids: pa.Array, texts: pa.Array, length: int = MIN_LENGTH, limit: int = TABLE):
     """(key, place of the piece, bytes) groups of at most limit bytes; a longer text comes in pieces that overlap by length - 1."""
     held, size = [], 0
     for k, t in zip(ids.to_pylist(), texts, strict=True):
@@ -177,7 +174,7 @@ def repeated_spans(docs: DataFrame, length: int = MIN_LENGTH) -> DataFrame:
 
     def find(batches):
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", TABLE):
                 for held in _pieces(b.column("rk"), b.column("text"), length):
                     off = np.cumsum([0, *(len(x) for *_, x in held)])
                     own, a, pos, first, last, c = contexts(np.concatenate([x for *_, x in held]), off, length)
@@ -302,7 +299,7 @@ def without_repeats(docs: DataFrame, length: int = MIN_LENGTH) -> DataFrame:
 
     A byte goes if a string of length bytes that covers it also starts at another place, in this text or another;
     strings are judged on the input. Null and empty texts have 0 bytes. Rows equal in doc_id and text are two
-    texts, so that both lose all they share; an empty table gives an empty result. A very long text is one row's work, in pieces of 8 MB.
+    texts, so that both lose all they share; an empty table gives an empty result. A very long text is one row's work, in pieces of 2 MB.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 

@@ -12,29 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, dropped, keyed, mix, slices, stored
+from .common import BASE, INV, INVERSE, POWER, TABLE, components, keyed, mix, powers, slices, stored
 
 #: Shingles in HEAVY_DOCS sets or more of a block are reported as frequent, at most HEAVY_BLOCK a block; the HEAVY most frequent of all make the tail of the order.
-HEAVY_DOCS, HEAVY_BLOCK, HEAVY = 4, 8192, 1 << 17
-BLOCK_BYTES = 6 << 20
+HEAVY_DOCS, HEAVY_BLOCK, HEAVY = 3, 4096, 1 << 17
+BLOCK_BYTES = 1 << 20
 #: So many sets at most are tried against one set in one group.
 TRIE_SETS = 256
 _SEED = np.random.default_rng(20240531)
 _BYTE = _SEED.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-
-
-def _powers(n: int, base: np.uint64) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.cumprod(out, dtype=np.uint64)
-
-
-_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_TABLE = 1 << 23
-_POWER, _INVERSE = _powers(_TABLE, _BASE), _powers(_TABLE, _INV)
 #: Pairs up to so many (about 40 bytes each) are broadcast to the texts; more are joined by a shuffle.
 BROADCAST_PAIRS = 400_000
 
@@ -51,7 +37,7 @@ def word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if not len(a):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
-        power, inverse = (_POWER[: len(buf)], _INVERSE) if len(buf) <= _TABLE else (_powers(len(buf), _BASE), _powers(len(buf), _INV))
+        power, inverse = (POWER[: len(buf)], INVERSE) if len(buf) <= TABLE else (powers(len(buf), BASE), powers(len(buf), INV))
         total = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(_BYTE[low] * power, dtype=np.uint64, out=total[1:])
         h = (total[b] - total[a]) * inverse[a]
