@@ -137,8 +137,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     component_id: smallest doc_id reachable by links, itself included. Null ids count as larger than all others and
     keep a null component when nothing else is reachable. Rows that come twice are returned twice; an empty table gives an empty result.
 
-    Steps: sizes and keys of the sets; prefix shingles dealt out by shingle; neighbours in the order of size within a
-    shingle are tried first (a chain, not all pairs); then only pairs in different components are tried. Equal sets are one all along.
+    Steps: sizes and keys of the sets; prefix shingles dealt out by shingle; each set of a shingle is tried
+    with the one of smallest key first (a star, not all pairs; near copies mostly have the same centre for all shingles); then only pairs in different components are tried. Equal sets are one all along.
     """
     src = keyed(docs)
     schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
@@ -174,11 +174,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
                 o = owner[a : a + 200_000]
                 yield pa.RecordBatch.from_arrays([pa.array(s[at[a : a + 200_000]].view(np.int64)), pa.array(key[o]), pa.array(n[o].astype(np.int32))], names=["t", "k", "n"])
 
-    near = lambda small, large: F.col(small) * den >= F.col(large) * num
-    w = Window.partitionBy("t").orderBy("n", "k")
-    post = text.mapInArrow(prefixes, "t long, k long, n int").select("*", F.lag("k").over(w).alias("pk"), F.lag("n").over(w).alias("pn"), F.lead("k").over(w).alias("nk"))
+    near = lambda a, b: F.least(a, b) * den >= F.greatest(a, b) * num
+    w = Window.partitionBy("t").orderBy("k")
+    post = text.mapInArrow(prefixes, "t long, k long, n int").select("*", F.lag("k").over(w).alias("pk"), F.lead("k").over(w).alias("nk"), F.first("k").over(w).alias("fk"), F.first("n").over(w).alias("fn"))
     shared = stored(post.filter("pk <> k or nk <> k"), "shared")
-    first = shared.filter((F.col("pk") != F.col("k")) & near("pn", "n")).select(F.col("pk").alias("x"), F.col("k").alias("y")).distinct()
+    first = shared.filter((F.col("fk") != F.col("k")) & near("fn", "n")).select(F.col("fk").alias("x"), F.col("k").alias("y")).distinct()
     one = rows.groupBy("set_key").agg(F.min("rk").alias("rk"))
     links = stored(_verified(first, text, one, k, num, den), "links1")
     comp = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), "cc1")

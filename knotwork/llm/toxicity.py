@@ -34,7 +34,7 @@ SCOPE = 3  # words that a negation reaches
 #: Prior weight of an event: (kind, negated, reported, targeted); kinds insult and threat.
 EVENTS = [(k, n, r, t) for k in (I, T) for n in (0, 1) for r in (0, 1) for t in (0, 1)]
 PRIOR = np.array([(3.0 if k == I else 1.0) + t - 1.5 * n - 1.0 * r for k, n, r, t in EVENTS])
-BIAS = -3.5
+BIAS = -2.5
 
 _CLAUSE_END = re.compile(r"[.!?;:\n]")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
