@@ -58,6 +58,8 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     and a join whose hot side can be split. Self-links and repeated links don't matter.
     """
     cur = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), name)
+    if cur.isEmpty():
+        return cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
     seen = None
     while True:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
