@@ -190,7 +190,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     right = open_.select("t", F.col("k").alias("y"), F.col("n").alias("yn"), F.col("c").alias("yc"))
     second = open_.join(right, "t").filter("c <> yc and (n < yn or (n = yn and k < y))").filter(near("n", "yn")).select(F.col("k").alias("x"), "y").distinct()
     more = stored(_verified(second.join(first, ["x", "y"], "left_anti"), text, one, k, num, den), "links2")
-    comp = components(links.unionByName(more).select(F.col("x").alias("u"), F.col("y").alias("v")), "cc2")
+    if not more.isEmpty():
+        comp = components(links.unionByName(more).select(F.col("x").alias("u"), F.col("y").alias("v")), "cc2")
     # Back to rows: a set's component, then the smallest doc_id of all rows in it. An empty set is alone.
     ids = src.select("rk", "doc_id")
     out = rows.join(comp, F.col("set_key") == F.col("node"), "left").select("rk", "set_key", "n_shingles", F.coalesce("component", "set_key").alias("c"))
