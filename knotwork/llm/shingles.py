@@ -1,7 +1,7 @@
 """N-gram Jaccard join over word shingles: prefix filter for candidates, prefix-tree join to decide them.
 
-Sets are 48-bit hashes of shingles in one global order: shingles that are frequent anywhere come last, the others
-are ordered by hash. Any order gives exact results; this one keeps passages that many documents share out of the
+Sets are 48-bit hashes of shingles in one global order: shingles that are frequent anywhere come last, the most
+frequent at the very end, the others are ordered by hash. Any order gives exact results; this one keeps passages that many documents share out of the
 prefixes. A set is known by a 64-bit key of its members, so exact copies are one set from the start.
 """
 
@@ -77,12 +77,12 @@ def set_keys(s: np.ndarray, off: np.ndarray) -> np.ndarray:
         return np.where(n > 0, mix(c[off[1:]] - c[off[:-1]] + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.uint64(0)).view(np.int64)
 
 
-def _ordered(s: np.ndarray, off: np.ndarray, heavy: np.ndarray) -> np.ndarray:
-    """Members of each set in the global order: by (frequent, hash)."""
-    if not len(s) or not len(heavy):
+def _ordered(s: np.ndarray, off: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Members of each set in the global order: by (place among the frequent, hash). heavy: frequent shingles, sorted, and their places from 1, the rarest first."""
+    if not len(s) or not len(heavy[0]):
         return s
-    at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
-    return s[np.lexsort((s, heavy[at] == s, np.repeat(np.arange(len(off) - 1), np.diff(off))))]
+    at = np.minimum(np.searchsorted(heavy[0], s), len(heavy[0]) - 1)
+    return s[np.lexsort((s, np.where(heavy[0][at] == s, heavy[1][at], 0), np.repeat(np.arange(len(off) - 1), np.diff(off))))]
 
 
 def trie_join(x: np.ndarray, others: list[tuple[int, np.ndarray]], num: int, den: int, rank) -> list[int]:
@@ -158,7 +158,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     facts = stored(text.mapInArrow(sizes, "kind int, a long, b long, n long"), "sets")
     frequent = facts.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(HEAVY).select("a").toPandas()["a"]  # HEAVY rows at most
-    heavy = docs.sparkSession.sparkContext.broadcast(np.sort(frequent.to_numpy(np.int64).view(np.uint64)))
+    frequent = frequent.to_numpy(np.int64).view(np.uint64)
+    up = np.argsort(frequent)
+    heavy = docs.sparkSession.sparkContext.broadcast((frequent[up], (len(frequent) - up).astype(np.int32)))
     rows = facts.filter("kind = 0").select(F.col("a").alias("rk"), F.col("b").alias("set_key"), F.col("n").alias("n_shingles"))
 
     def prefixes(batches):
