@@ -174,23 +174,24 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
             at = off[:-1][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(length) - length, length)
             for a in range(0, len(owner), 200_000):
                 o = owner[a : a + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(s[at[a : a + 200_000]].view(np.int64)), pa.array(key[o]), pa.array(n[o].astype(np.int32))], names=["t", "k", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(s[at[a : a + 200_000]].view(np.int64)), pa.array(key[o]), pa.array(n[o].astype(np.int32)), pa.array((at[a : a + 200_000] - off[:-1][o]).astype(np.int32))], names=["t", "k", "n", "p"])
 
-    near = lambda a, b: F.least(a, b) * den >= F.greatest(a, b) * num
+    # Lengths allow it, and so does what follows the shared shingle: if it is the first one that they share, no more than the rest of either set is shared.
+    near = lambda a, b, i, j: (F.least(a, b) * den >= F.greatest(a, b) * num) & (F.least(F.col(a) - F.col(i), F.col(b) - F.col(j)) * (num + den) >= (F.col(a) + F.col(b)) * num)
     w = Window.partitionBy("t").orderBy("k")
-    post = text.mapInArrow(prefixes, "t long, k long, n int").select("*", F.lag("k").over(w).alias("pk"), F.lead("k").over(w).alias("nk"), F.first("k").over(w).alias("fk"), F.first("n").over(w).alias("fn"))
+    post = text.mapInArrow(prefixes, "t long, k long, n int, p int").select("*", F.lag("k").over(w).alias("pk"), F.lead("k").over(w).alias("nk"), F.first("k").over(w).alias("fk"), F.first("n").over(w).alias("fn"), F.first("p").over(w).alias("fp"))
     shared = stored(post.filter("pk <> k or nk <> k"), "shared")
-    first = shared.filter((F.col("fk") != F.col("k")) & near("fn", "n")).select(F.col("fk").alias("x"), F.col("k").alias("y")).distinct()
+    first = shared.filter((F.col("fk") != F.col("k")) & near("fn", "n", "fp", "p")).select(F.col("fk").alias("x"), F.col("k").alias("y")).distinct()
     one = rows.groupBy("set_key").agg(F.min("rk").alias("rk"))
     links = stored(_verified(first, text, one, k, num, den), "links1")
     comp = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), "cc1")
     # What may still join two components: shingles whose sets are in more than one.
-    label = shared.select("t", "k", "n").distinct().join(comp, F.col("k") == F.col("node"), "left").select("t", "k", "n", F.coalesce("component", "k").alias("c"))
+    label = shared.select("t", "k", "n", "p").distinct().join(comp, F.col("k") == F.col("node"), "left").select("t", "k", "n", "p", F.coalesce("component", "k").alias("c"))
     label = stored(label, "label")
     mixed = label.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("t")
     open_ = label.join(mixed, "t")
-    right = open_.select("t", F.col("k").alias("y"), F.col("n").alias("yn"), F.col("c").alias("yc"))
-    second = open_.join(right, "t").filter("c <> yc and (n < yn or (n = yn and k < y))").filter(near("n", "yn")).select(F.col("k").alias("x"), "y").distinct()
+    right = open_.select("t", F.col("k").alias("y"), F.col("n").alias("yn"), F.col("p").alias("yp"), F.col("c").alias("yc"))
+    second = open_.join(right, "t").filter("c <> yc and (n < yn or (n = yn and k < y))").filter(near("n", "yn", "p", "yp")).select(F.col("k").alias("x"), "y").distinct()
     more = stored(_verified(second.join(first, ["x", "y"], "left_anti"), text, one, k, num, den), "links2")
     if not more.isEmpty():
         comp = components(links.unionByName(more).select(F.col("x").alias("u"), F.col("y").alias("v")), "cc2")
