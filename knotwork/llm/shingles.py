@@ -12,13 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, INV, INVERSE, POWER, TABLE, components, keyed, mix, powers, slices, stored
+from .common import BASE, INV, INVERSE, POWER, TABLE, components, dropped, keyed, mix, powers, slices, stored
 
 #: Shingles in HEAVY_DOCS sets or more of a block are reported as frequent, at most HEAVY_BLOCK a block; the HEAVY most frequent of all make the tail of the order.
 HEAVY_DOCS, HEAVY_BLOCK, HEAVY = 3, 4096, 1 << 17
 BLOCK_BYTES = 1 << 20
 #: So many sets at most are tried against one set in one group.
 TRIE_SETS = 256
+#: Sets tried in one round against all others of a shingle, and rounds at most; the last one takes every pair across components.
+CENTRES, ROUNDS = 8, 3
 _SEED = np.random.default_rng(20240531)
 _BYTE = _SEED.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 #: Pairs up to so many (about 40 bytes each) are broadcast to the texts; more are joined by a shuffle.
@@ -138,7 +140,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     keep a null component when nothing else is reachable. Rows that come twice are returned twice; an empty table gives an empty result.
 
     Steps: sizes and keys of the sets; prefix shingles dealt out by shingle; each set of a shingle is tried
-    with the one of smallest key first (a star, not all pairs; near copies mostly have the same centre for all shingles); then only pairs in different components are tried. Equal sets are one all along.
+    with the one of smallest key first (a star, not all pairs); while all pairs across components would be more than
+    CENTRES a row, CENTRES sets of each shingle are tried in a round (the same ones for near copies, by the order of a
+    hash), which joins most components; then all pairs across components are tried. Equal sets are one all along.
     """
     src = keyed(docs)
     schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
@@ -182,19 +186,41 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     post = text.mapInArrow(prefixes, "t long, k long, n int, p int").select("*", F.lag("k").over(w).alias("pk"), F.lead("k").over(w).alias("nk"), F.first("k").over(w).alias("fk"), F.first("n").over(w).alias("fn"), F.first("p").over(w).alias("fp"))
     shared = stored(post.filter("pk <> k or nk <> k"), "shared")
     first = shared.filter((F.col("fk") != F.col("k")) & near("fn", "n", "fp", "p")).select(F.col("fk").alias("x"), F.col("k").alias("y")).distinct()
+    first = stored(first, "first")
     one = rows.groupBy("set_key").agg(F.min("rk").alias("rk"))
     links = stored(_verified(first, text, one, k, num, den), "links1")
     comp = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), "cc1")
-    # What may still join two components: shingles whose sets are in more than one.
-    label = shared.select("t", "k", "n", "p").distinct().join(comp, F.col("k") == F.col("node"), "left").select("t", "k", "n", "p", F.coalesce("component", "k").alias("c"))
-    label = stored(label, "label")
-    mixed = label.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("t")
-    open_ = label.join(mixed, "t")
-    right = open_.select("t", F.col("k").alias("y"), F.col("n").alias("yn"), F.col("p").alias("yp"), F.col("c").alias("yc"))
-    second = open_.join(right, "t").filter("c <> yc and (n < yn or (n = yn and k < y))").filter(near("n", "yn", "p", "yp")).select(F.col("k").alias("x"), "y").distinct()
-    more = stored(_verified(second.join(first, ["x", "y"], "left_anti"), text, one, k, num, den), "links2")
-    if not more.isEmpty():
-        comp = components(links.unionByName(more).select(F.col("x").alias("u"), F.col("y").alias("v")), "cc2")
+    tested = first
+    for number in range(1, ROUNDS + 1):
+        label = shared.select("t", "k", "n", "p").distinct().join(comp, F.col("k") == F.col("node"), "left").select("t", "k", "n", "p", F.coalesce("component", "k").alias("c"))
+        label = stored(label, "label")
+        # What may still join two components: shingles whose sets are in more than one, and how many pairs they give.
+        per = label.groupBy("t", "c").agg(F.count(F.lit(1)).cast("double").alias("m")).groupBy("t").agg(F.sum("m").alias("m"), F.sum(F.col("m") ** 2).alias("sq"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+        mixed = stored(per.select("t", "m", ((F.col("m") ** 2 - F.col("sq")) / 2).alias("pairs")), "mixed")
+        cost = mixed.agg(F.sum("m").alias("rows"), F.sum("pairs").alias("pairs")).first()
+        if cost["rows"] is None:
+            break
+        open_ = label.join(mixed.select("t"), "t")
+        last = number == ROUNDS or cost["pairs"] <= CENTRES * cost["rows"]
+        if last:
+            right = open_.select("t", F.col("k").alias("y"), F.col("n").alias("yn"), F.col("p").alias("yp"), F.col("c").alias("yc"))
+            met = open_.join(right, "t").filter("c <> yc and (n < yn or (n = yn and k < y))")
+        else:
+            order = F.xxhash64("k", F.lit(number))
+            centre = open_.groupBy("t", F.pmod(order, F.lit(CENTRES)).alias("b")).agg(F.min(F.struct(order.alias("o"), "k", "n", "p", "c")).alias("m"))
+            met = centre.select("t", F.col("m.k").alias("k"), F.col("m.n").alias("n"), F.col("m.p").alias("p"), F.col("m.c").alias("c")).join(open_.select("t", F.col("k").alias("y"), F.col("n").alias("yn"), F.col("p").alias("yp"), F.col("c").alias("yc")), "t").filter("c <> yc")
+        pairs = met.filter(near("n", "yn", "p", "yp")).select(F.col("k").alias("x"), "y").distinct()
+        both = tested.unionByName(tested.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        pairs = stored(pairs.join(both, ["x", "y"], "left_anti"), "open")
+        more = stored(_verified(pairs, text, one, k, num, den), "links2")
+        dropped(label)
+        dropped(mixed)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            comp = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), "cc2")
+        if last:
+            break
+        tested = tested.unionByName(pairs)
     # Back to rows: a set's component, then the smallest doc_id of all rows in it. An empty set is alone.
     ids = src.select("rk", "doc_id")
     out = rows.join(comp, F.col("set_key") == F.col("node"), "left").select("rk", "set_key", "n_shingles", F.coalesce("component", "set_key").alias("c"))
@@ -209,7 +235,6 @@ def _verified(pairs: DataFrame, text: DataFrame, one: DataFrame, k: int, num: in
 
     one: a row key for each set key; its text gives the set. Texts without a pair are left out before anything is dealt out.
     """
-    pairs = stored(pairs, "pairs")
     deg = pairs.groupBy("x").agg(F.count(F.lit(1)).alias("deg"))
     part = F.pmod(F.xxhash64("y"), F.ceil(F.col("deg") / TRIE_SETS)).cast("int")
     grouped = pairs.join(deg, "x").select("x", "y", part.alias("part"))
