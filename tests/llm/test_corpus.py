@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import random
 import re
 
 import numpy as np
@@ -81,7 +82,8 @@ def test_hot_cores_go_by_hash(docs, monkeypatch):
     assert got(repeats.without_repeats(docs), *cols) == plain
 
 
-def test_jaccard(docs, rows):
+def jaccard_wanted(rows):
+    """Every pair of sets compared."""
     low = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
     sets = []
     for _, t in rows:
@@ -101,7 +103,27 @@ def test_jaccard(docs, rows):
     for a, (i, _) in enumerate(rows):
         ids = [rows[b][0] for b in range(len(rows)) if find(b) == find(a) and rows[b][0] is not None]
         want.append((i, len(sets[a]), (min(ids) if ids else None) if sets[a] else i))
-    assert got(shingles.jaccard_components(docs), "doc_id", "n_shingles", "component_id") == sorted(want, key=repr)
+    return sorted(want, key=repr)
+
+
+def test_jaccard(docs, rows):
+    assert got(shingles.jaccard_components(docs), "doc_id", "n_shingles", "component_id") == jaccard_wanted(rows)
+
+
+def test_jaccard_rounds_of_centres(spark, monkeypatch):
+    """Near copies whose links lie about the threshold, with so few centres that rounds are made before all pairs."""
+    monkeypatch.setattr(shingles, "CENTRES", 1)
+    rng = random.Random(5)
+    texts = []
+    for group in range(2):
+        base = [f"w{group}x{j}" for j in range(100)]
+        for i in range(40):
+            words = base.copy()
+            for j in rng.sample(range(100), rng.choice([1, 1, 2, 3])):
+                words[j] = f"edit{group}y{i}z{j}"
+            texts.append((len(texts), " ".join(words)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert got(shingles.jaccard_components(docs), "doc_id", "n_shingles", "component_id") == jaccard_wanted(texts)
 
 
 def test_trie_join_against_sets():
