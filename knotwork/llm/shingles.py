@@ -225,7 +225,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     ids = src.select("rk", "doc_id")
     out = rows.join(comp, F.col("set_key") == F.col("node"), "left").select("rk", "set_key", "n_shingles", F.coalesce("component", "set_key").alias("c"))
     out = stored(ids.join(out.groupBy("rk").agg(*(F.first(c).alias(c) for c in ("set_key", "n_shingles", "c"))), "rk"), "rows")
-    low = out.filter("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("low"))
+    # stored, so that the join below deals out its left side by itself and can split a large component
+    low = stored(out.filter("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("low")), "low")
     linked = F.when(F.col("n_shingles") > 0, F.col("low")).otherwise(F.col("doc_id"))
     return out.join(low, "c", "left").select("doc_id", "n_shingles", linked.alias("component_id"), "set_key", "rk")
 
