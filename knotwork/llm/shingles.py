@@ -1,4 +1,4 @@
-"""N-gram Jaccard join over word shingles: prefix filter for candidates, prefix-tree join to decide them.
+"""N-gram Jaccard join over word shingles: prefix filter and parity bits for candidates, prefix-tree join to decide them.
 
 Sets are 48-bit hashes of shingles in one global order: shingles that are frequent anywhere come last, the most
 frequent at the very end, the others are ordered by hash. Any order gives exact results; this one keeps passages that many documents share out of the
@@ -20,9 +20,11 @@ BLOCK_BYTES = 1 << 20
 #: So many sets at most are tried against one set in one group.
 TRIE_SETS = 256
 #: Sets tried in one round against all others of a shingle, and rounds at most; the last one takes every pair across components.
-CENTRES, ROUNDS = 8, 3
+CENTRES, ROUNDS = 8, 2
 _SEED = np.random.default_rng(20240531)
 _BYTE = _SEED.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+#: 64-bit words of a set's parity bits.
+WORDS = 8
 #: Pairs up to so many (about 40 bytes each) are broadcast to the texts; more are joined by a shuffle.
 BROADCAST_PAIRS = 400_000
 
@@ -79,6 +81,19 @@ def set_keys(s: np.ndarray, off: np.ndarray) -> np.ndarray:
         return np.where(n > 0, mix(c[off[1:]] - c[off[:-1]] + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.uint64(0)).view(np.int64)
 
 
+def parities(s: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """WORDS 64-bit words for each set: bit i is the parity of the number of members that fall on i.
+
+    Two sets whose words differ in d bits differ in d members at least, which bounds what they share from above.
+    """
+    with np.errstate(over="ignore"):
+        place = mix(s ^ np.uint64(0x5C5C5C5C5C5C5C5C)) % np.uint64(64 * WORDS)
+    out = np.zeros((len(off) - 1, WORDS), np.uint64)
+    owner = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    np.bitwise_xor.at(out, (owner, (place >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (place & np.uint64(63)))
+    return out.view(np.int64)
+
+
 def _ordered(s: np.ndarray, off: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Members of each set in the global order: by (place among the frequent, hash). heavy: frequent shingles, sorted, and their places from 1, the rarest first."""
     if not len(s) or not len(heavy[0]):
@@ -145,28 +160,40 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     hash), which joins most components; then all pairs across components are tried. Equal sets are one all along.
     """
     src = keyed(docs)
-    schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+    bit = [f"w{i}" for i in range(WORDS)]
+    schema = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("a", "b", "n", *bit))])
     text = src.select("rk", "text")
 
     def sizes(batches):
         for ids, texts in _blocks(batches):
             s, off = shingle_sets(texts, k)
             key, n = set_keys(s, off), np.diff(off)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(key), np.int32)), ids, pa.array(key), pa.array(n)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(key), np.int32)), ids, pa.array(key), pa.array(n), *(pa.array(w) for w in np.ascontiguousarray(parities(s, off).T))], schema=schema)
             _, one = np.unique(key, return_index=True)
             mine = np.repeat(np.isin(np.arange(len(key)), one), n)
             v, c = np.unique(s[mine], return_counts=True)
             top = np.flatnonzero(c >= HEAVY_DOCS)
             top = top[np.argsort(-c[top], kind="stable")[:HEAVY_BLOCK]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(top), np.int32)), pa.array(v[top].view(np.int64)), pa.array(np.zeros(len(top), np.int64)), pa.array(c[top].astype(np.int64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(top), np.int32)), pa.array(v[top].view(np.int64)), pa.array(np.zeros(len(top), np.int64)), pa.array(c[top].astype(np.int64)), *[pa.nulls(len(top), pa.int64())] * WORDS], schema=schema)
 
-    facts = stored(text.mapInArrow(sizes, "kind int, a long, b long, n long"), "sets")
+    facts = stored(text.mapInArrow(sizes, ", ".join(["kind int, a long, b long, n long", *(f"{c} long" for c in bit)])), "sets")
     frequent = facts.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(HEAVY).select("a").toPandas()["a"]  # HEAVY rows at most
     frequent = frequent.to_numpy(np.int64).view(np.uint64)
     up = np.argsort(frequent)
     heavy = docs.sparkSession.sparkContext.broadcast((frequent[up], (len(frequent) - up).astype(np.int32)))
     rows = facts.filter("kind = 0").select(F.col("a").alias("rk"), F.col("b").alias("set_key"), F.col("n").alias("n_shingles"))
 
+    one = rows.groupBy("set_key").agg(F.min("rk").alias("rk"))
+    words = stored(facts.filter("kind = 0 and n > 0").groupBy("b").agg(*(F.first(c).alias(c) for c in bit)), "parities")
+
+    def with_words(df: DataFrame, key: str, mark: str) -> DataFrame:
+        return df.join(words.select(F.col("b").alias(key), *(F.col(c).alias(c + mark) for c in bit)), key)
+
+    def in_reach(a: str, b: str) -> F.Column:
+        """Not so many parities differ that the sets (sizes a and b) can't be similar enough."""
+        differ = sum((F.bit_count(F.col(c + "x").bitwiseXOR(F.col(c + "y"))) for c in bit), F.lit(0))
+        return differ * (num + den) <= (F.col(a) + F.col(b)) * (den - num)
+
     def prefixes(batches):
         for _, texts in _blocks(batches):
             s, off = shingle_sets(texts, k)
@@ -185,9 +212,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     w = Window.partitionBy("t").orderBy("k")
     post = text.mapInArrow(prefixes, "t long, k long, n int, p int").select("*", F.lag("k").over(w).alias("pk"), F.lead("k").over(w).alias("nk"), F.first("k").over(w).alias("fk"), F.first("n").over(w).alias("fn"), F.first("p").over(w).alias("fp"))
     shared = stored(post.filter("pk <> k or nk <> k"), "shared")
-    first = shared.filter((F.col("fk") != F.col("k")) & near("fn", "n", "fp", "p")).select(F.col("fk").alias("x"), F.col("k").alias("y")).distinct()
-    first = stored(first, "first")
-    one = rows.groupBy("set_key").agg(F.min("rk").alias("rk"))
+    first = shared.filter((F.col("fk") != F.col("k")) & near("fn", "n", "fp", "p")).select(F.col("fk").alias("x"), F.col("k").alias("y"), F.col("fn").alias("xn"), F.col("n").alias("yn")).distinct()
+    first = stored(with_words(with_words(first, "x", "x"), "y", "y").filter(in_reach("xn", "yn")).select("x", "y"), "first")
     links = stored(_verified(first, text, one, k, num, den), "links1")
     comp = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), "cc1")
     tested = first
@@ -200,21 +226,23 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         cost = mixed.agg(F.sum("m").alias("rows"), F.sum("pairs").alias("pairs")).first()
         if cost["rows"] is None:
             break
-        open_ = label.join(mixed.select("t"), "t")
+        open_ = stored(with_words(label.join(mixed.select("t"), "t"), "k", "x"), "mixed-sets")
+        marks, other = [c + "x" for c in bit], [F.col(c + "x").alias(c + "y") for c in bit]
+        right = open_.select("t", F.col("k").alias("y"), F.col("n").alias("yn"), F.col("p").alias("yp"), F.col("c").alias("yc"), *other)
         last = number == ROUNDS or cost["pairs"] <= CENTRES * cost["rows"]
         if last:
-            right = open_.select("t", F.col("k").alias("y"), F.col("n").alias("yn"), F.col("p").alias("yp"), F.col("c").alias("yc"))
             met = open_.join(right, "t").filter("c <> yc and (n < yn or (n = yn and k < y))")
         else:
             order = F.xxhash64("k", F.lit(number))
-            centre = open_.groupBy("t", F.pmod(order, F.lit(CENTRES)).alias("b")).agg(F.min(F.struct(order.alias("o"), "k", "n", "p", "c")).alias("m"))
-            met = centre.select("t", F.col("m.k").alias("k"), F.col("m.n").alias("n"), F.col("m.p").alias("p"), F.col("m.c").alias("c")).join(open_.select("t", F.col("k").alias("y"), F.col("n").alias("yn"), F.col("p").alias("yp"), F.col("c").alias("yc")), "t").filter("c <> yc")
-        pairs = met.filter(near("n", "yn", "p", "yp")).select(F.col("k").alias("x"), "y").distinct()
+            centre = open_.groupBy("t", F.pmod(order, F.lit(CENTRES)).alias("b")).agg(F.min(F.struct(order.alias("o"), "k", "n", "p", "c", *marks)).alias("m"))
+            met = centre.select("t", *(F.col(f"m.{c}").alias(c) for c in ("k", "n", "p", "c", *marks))).join(right, "t").filter("c <> yc")
+        pairs = met.filter(near("n", "yn", "p", "yp") & in_reach("n", "yn")).select(F.col("k").alias("x"), "y").distinct()
         both = tested.unionByName(tested.select(F.col("y").alias("x"), F.col("x").alias("y")))
         pairs = stored(pairs.join(both, ["x", "y"], "left_anti"), "open")
         more = stored(_verified(pairs, text, one, k, num, den), "links2")
         dropped(label)
         dropped(mixed)
+        dropped(open_)
         if not more.isEmpty():
             links = links.unionByName(more)
             comp = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), "cc2")

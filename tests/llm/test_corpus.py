@@ -110,6 +110,17 @@ def test_jaccard(docs, rows):
     assert got(shingles.jaccard_components(docs), "doc_id", "n_shingles", "component_id") == jaccard_wanted(rows)
 
 
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(4)
+    for size in (0, 1, 30, 3000):
+        x = np.unique(rng.integers(0, 1 << 48, size, dtype=np.uint64))
+        for lost in (0, size // 10, size // 2):
+            y = np.unique(np.concatenate([x[lost:], rng.integers(0, 1 << 48, lost // 2, dtype=np.uint64)]))
+            a, b = shingles.parities(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)])).view(np.uint64)
+            differ = sum(int(w).bit_count() for w in a ^ b)
+            assert differ <= len(np.setxor1d(x, y)) and (differ == 0) == (lost == 0)
+
+
 def test_jaccard_rounds_of_centres(spark, monkeypatch):
     """Near copies whose links lie about the threshold, with so few centres that rounds are made before all pairs."""
     monkeypatch.setattr(shingles, "CENTRES", 1)
