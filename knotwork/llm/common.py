@@ -6,16 +6,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..core.store import components, dropped, shared_dir, stored
 
-__all__ = ["BASE", "INV", "INVERSE", "POWER", "TABLE", "components", "crc_of_id", "dropped", "keyed", "mix", "powers", "shared_dir", "slices", "stored"]
+__all__ = ["BASE", "INV", "INVERSE", "POWER", "TABLE", "bounded_batches", "components", "crc_of_id", "dropped", "keyed", "mix", "powers", "shared_dir", "slices", "stored"]
+
+
+#: Bytes of an Arrow batch on its way to Python, where the session doesn't name another bound.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches of this session by bytes, so that buffers outside the heap don't follow the length of texts. A bound that the session sets itself stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and rk, a 64-bit key of both. Rows equal in doc_id and text share rk and are treated as one document."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rk", F.xxhash64("doc_id", "text"))
 
 

@@ -43,7 +43,9 @@ def word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     with np.errstate(over="ignore"):
         power, inverse = (POWER[: len(buf)], INVERSE) if len(buf) <= TABLE else (powers(len(buf), BASE), powers(len(buf), INV))
         total = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(_BYTE[low] * power, dtype=np.uint64, out=total[1:])
+        total[1:] = _BYTE[low]
+        total[1:] *= power
+        np.cumsum(total, out=total)
         h = (total[b] - total[a]) * inverse[a]
         return mix(h + (b - a).astype(np.uint64)), np.searchsorted(off, a, "right") - 1
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, slices
+from .common import bounded_batches, crc_of_id, slices
 
 #: Documented bounds of the labelled sample and of what is learned from it.
 SAMPLE_ROWS, LEARNED_STEMS, MIN_POSITIVE, MIN_PRECISION = 12_000, 600, 8, 0.9
@@ -166,6 +166,7 @@ def toxicity(docs: DataFrame, model: dict) -> DataFrame:
 
     The whole text is read. Null and empty texts get the score of no match; repeated rows get the same score.
     """
+    bounded_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int64())
     names = ["doc_id", "id_crc", "score", "predicted", "n_matches"]
@@ -191,6 +192,7 @@ def held_out_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, all columns kept, that toxicity doesn't reject."""
+    bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels.filter(crc_of_id() % 5 != 0)))
     state: dict = {}
 
