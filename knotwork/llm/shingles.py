@@ -19,6 +19,8 @@ HEAVY_DOCS, HEAVY_BLOCK, HEAVY = 3, 4096, 1 << 17
 BLOCK_BYTES = 1 << 20
 #: So many sets at most are tried against one set in one group.
 TRIE_SETS = 256
+#: Bytes of sets that a worker holds before it decides or hands them on.
+GROUP_BYTES = 2 << 20
 #: Sets tried in one round against all others of a shingle, and rounds at most; the last one takes every pair across components.
 CENTRES, ROUNDS = 8, 2
 _SEED = np.random.default_rng(20240531)
@@ -274,14 +276,25 @@ def _verified(pairs: DataFrame, text: DataFrame, one: DataFrame, k: int, num: in
     small = pairs.count() <= BROADCAST_PAIRS
     mine = text.join(F.broadcast(todo) if small else todo, "rk").select("y", "at", "text")
 
+    def packed(out) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], names=["x", "part", "other", "y", "members"])
+
     def members(batches):
         for batch in batches:
             for b in slices(batch, "text", 2 << 20):
                 s, off = shingle_sets(b.column("text"), k)
                 six = s.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()  # 48 bits of each member
-                out = [(a["x"], a["part"], a["x"] != y, y, six[6 * off[i] : 6 * off[i + 1]]) for i, (y, at) in enumerate(zip(b.column("y").to_pylist(), b.column("at").to_pylist(), strict=True)) for a in at]
-                for c in range(0, len(out), 500):
-                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out[c : c + 500], strict=True), (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], names=["x", "part", "other", "y", "members"])
+                out, held = [], 0
+                for i, y in enumerate(b.column("y").to_pylist()):
+                    own = six[6 * off[i] : 6 * off[i + 1]]
+                    for a in b.column("at")[i].as_py():
+                        out.append((a["x"], a["part"], a["x"] != y, y, own))
+                        held += len(own) + 64
+                        if held >= GROUP_BYTES:
+                            yield packed(out)
+                            out, held = [], 0
+                if out:
+                    yield packed(out)
 
     full = mine.mapInArrow(members, "x long, part int, other boolean, y long, members binary")
     full = full.repartition("x", "part").sortWithinPartitions("x", "part", "other")
@@ -292,7 +305,7 @@ def _verified(pairs: DataFrame, text: DataFrame, one: DataFrame, k: int, num: in
         return wide.view(np.uint64).ravel()
 
     def run(batches):
-        cur, x, ys = None, None, []
+        cur, x, ys, held = None, None, [], 0
 
         def decide():
             if x is None or not ys:
@@ -311,10 +324,14 @@ def _verified(pairs: DataFrame, text: DataFrame, one: DataFrame, k: int, num: in
             for i, (g, p, other, y) in enumerate(zip(*cols, strict=True)):
                 if (g, p) != cur:
                     out += decide()
-                    cur, x, ys = (g, p), None, []
+                    cur, x, ys, held = (g, p), None, [], 0
                 m = unpack(b.column("members")[i].as_buffer())
                 if other:
                     ys.append((y, m))
+                    held += m.nbytes
+                    if held >= GROUP_BYTES:  # each pair is decided by itself, so a group can be decided in pieces
+                        out += decide()
+                        ys, held = [], 0
                 else:
                     x = m
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([c for _, c in out], pa.int64())], names=["x", "y"])

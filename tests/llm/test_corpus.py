@@ -124,6 +124,7 @@ def test_parities_bound_the_difference():
 def test_jaccard_rounds_of_centres(spark, monkeypatch):
     """Near copies whose links lie about the threshold, with so few centres that rounds are made before all pairs."""
     monkeypatch.setattr(shingles, "CENTRES", 1)
+    monkeypatch.setattr(shingles, "GROUP_BYTES", 2000)
     rng = random.Random(5)
     texts = []
     for group in range(2):
