@@ -26,8 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that come earlier, up to one edit, go from texts; a document that had lines and lost all of them goes."""
-    got = linededup.line_dedup(docs)
+    """Lines of any length but empty ones that come earlier, up to one edit, go from texts; a document that had lines and lost all of them goes."""
+    got = linededup.line_dedup(docs, min_chars=1)
     return _as_documents(got.filter("n_lines = 0 or n_dropped < n_lines"))
 
 

@@ -16,13 +16,13 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _half(n: F.Column) -> F.Column:
-    return (F.floor(n / 16) * 8).cast("int")
+    return F.when(n < 16, F.floor(n / 2)).otherwise(F.floor(n / 16) * 8).cast("int")
 
 
 def _half_keys(line: F.Column, n: F.Column) -> F.Column:
     """(side, key) of which two lines within one edit share one: an edit leaves the first or the last H characters as they are.
 
-    H is half the length in steps of 8. A key names the length of the shorter line of the pairs it is for, so a line
+    H is half the length, from 16 characters on in steps of 8. A key names the length of the shorter line of the pairs it is for, so a line
     has keys for its own length and for its length less one; lines that share a key differ in length by one at most.
     """
     keys = []
@@ -75,7 +75,7 @@ def kept_lines(docs: DataFrame, min_chars: int = 24) -> DataFrame:
 def line_dedup(docs: DataFrame, min_chars: int = 24) -> DataFrame:
     """docs, all columns kept, with text cut to the lines that stay, and n_lines and n_dropped.
 
-    A line of min_chars characters or more goes if an equal line, or one within one edit (insertion, deletion or
+    min_chars = 1 compares all lines but empty ones. A line of min_chars characters or more goes if an equal line, or one within one edit (insertion, deletion or
     substitution of a character), comes earlier by (doc_id, key of the row, line number), nulls first. Shorter lines
     stay. Lines end at line feeds. A null text stays null with 0 lines; a text that loses every line becomes
     empty. Rows equal in doc_id and text come back equal. Columns n_lines and n_dropped of docs are replaced; all others are kept.

@@ -55,7 +55,7 @@ def op9_length_buckets(spark, sf_dir):
 
 
 def op10_line_dedup(spark, sf_dir):
-    return linededup.line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return linededup.line_dedup(_table(spark, sf_dir, "documents"), min_chars=1).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_exact_top_k, op3_token_counts, op4_language_id, op5_jaccard_join, op6_suffix_dedup, op7_sampled_pieces, op8_toxicity, op9_length_buckets, op10_line_dedup)}

@@ -167,6 +167,36 @@ def test_line_dedup(spark):
     assert linededup.line_dedup(df.limit(0)).count() == 0
 
 
+def test_line_dedup_has_no_length_floor(spark, tmp_path):
+    """The query and the pipeline's stage against all pairs, lines of 0 to 40 characters about the steps of the half keys."""
+    import corpus_pipeline
+    from knotwork.llm.queries import op10_line_dedup
+
+    rng = random.Random(9)
+    lines = ["".join(rng.choices("abÉ", k=n)) for n in (1, 1, 1, 2, 3, 5, 7, 8, 14, 15, 16, 17, 22, 23, 24, 31, 32, 33, 40) for _ in range(2)]
+    lines += ["All rights reserved.", "All rights reserved", "", " "]
+    texts = []
+    for i in range(60):
+        some = rng.sample(lines, 6)
+        for k in range(3):
+            at, line = rng.randrange(len(some[k]) + 1), some[k]
+            some[k] = rng.choice([line[:at] + "a" + line[at:], line[:at] + line[at + 1 :], line[:at] + "b" + line[at + 1 :]])
+        texts.append((i, "\n".join(some), "en", "s", 1))
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, want = [], []
+    for i, t, *_ in texts:
+        kept = []
+        for line in t.split("\n"):
+            if not line or all(_edits(line, s) > 1 for s in seen):
+                kept.append(line)
+            if line:
+                seen.append(line)
+        want.append((i, 6, 6 - len(kept), "\n".join(kept)))
+    assert got(op10_line_dedup(spark, str(tmp_path)), "doc_id", "n_lines", "n_dropped", "kept_sha256") == sorted(((*w[:3], hashlib.sha256(w[3].encode()).hexdigest()) for w in want), key=repr)
+    stage = corpus_pipeline.drop_lines(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert got(stage, "doc_id", "text") == sorted(((w[0], w[3]) for w in want if w[2] < 6), key=repr)
+
+
 def _edits(s, t):
     if s == t:
         return 0
