@@ -37,9 +37,9 @@ def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings of 400 bytes and more that occur elsewhere go from texts; a document that loses all its text goes."""
+    """Passages of over 50 words, and byte strings of 400 bytes and more, that occur elsewhere go from texts; a document that loses all its text goes."""
     had = docs.select(*COLUMNS)
-    got = repeats.cut_repeats(had)
+    got = repeats.cut_repeats(had, words=51)
     return _as_documents(got.filter((F.col("text").isNull()) | (F.col("text") != "") | (F.col("n_chars") == 0)))
 
 

@@ -8,6 +8,9 @@ offsets. All strings of a cell have its 337 middle bytes, the core; a cell whose
 (4) Cells with one core are written as left bytes, one symbol for the core, right bytes, and joined; the
 Burrows-Wheeler transform of that is extended backward breadth first. Common prefixes come out by increasing value,
 and what has none when the minimum length is reached is a repeat.
+
+Passages of so many words, whatever their bytes, come out by the same first step over words: the smallest hash of a gram
+of words inside a passage is its anchor, and only passages whose anchor comes twice are hashed and counted.
 """
 
 from __future__ import annotations
@@ -24,6 +27,10 @@ from .common import INVERSE, POWER, TABLE, dropped, keyed, mix, slices, stored
 MIN_LENGTH, GRAM = 400, 48
 _T = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 CELL = 64
+#: Words of a gram that can be an anchor of a passage; bytes that pieces of one text overlap by.
+WORD_GRAM, OVERLAP = 8, 1 << 16
+#: A list of repeated hashes up to so many rows is broadcast, so that a common one isn't one task's work.
+BROADCAST_ROWS = 500_000
 #: Symbols that one transform takes, about; a core with more than HOT_CELLS different cells goes by hashed strings instead, which can be split over tasks.
 TRANSFORM, HOT_CELLS = 1 << 19, 4096
 
@@ -279,6 +286,89 @@ def repeated_spans(docs: DataFrame, length: int = MIN_LENGTH) -> DataFrame:
     return full.unionByName(dealt.mapInArrow(decide, "rk long, s long, e long")).unionByName(hot)
 
 
+def passages(buf: np.ndarray, off: np.ndarray, words: int, gram: int = WORD_GRAM) -> tuple[np.ndarray, ...]:
+    """Of the texts in buf (cut at off, each ended by a line feed, TABLE bytes at most), each run of so many words: number of the text, anchor hash, anchor place, start of the first word, first and last byte, hash.
+
+    Words are runs of bytes other than 0x20 and 0x09 to 0x0D. A passage leaves out what stands before the first letter,
+    digit or byte over 127 of its first word and after the last of its last word. Places are in buf.
+    """
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], (buf == 32) | ((buf >= 9) & (buf <= 13)), [True]]).astype(np.int8)))
+    a, z = edge[::2], edge[1::2]
+    n = len(a) - words + 1
+    if n < 1:
+        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 4, np.zeros(0, np.uint64))
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(_T[buf] * POWER[: len(buf)], dtype=np.uint64)])
+    g = _hash(sums, a[: len(a) - gram + 1], z[gram - 1 :])
+    place = _smallest(g[1:], words - 1 - gram)[:n] + 1  # grams of the words inside, which are whole in every copy
+    plain = np.flatnonzero(((buf >= 48) & (buf <= 57)) | ((buf >= 65) & (buf <= 90)) | ((buf >= 97) & (buf <= 122)) | (buf > 127))
+    plain = np.concatenate([[-1], plain, [len(buf)]])
+    s, e = plain[np.searchsorted(plain, a)], plain[np.searchsorted(plain, z) - 1] + 1
+    s, e = np.where(s < z, s, a)[:n], np.where(e > a, e, z)[words - 1 :]
+    own = np.searchsorted(off, a, "right") - 1
+    ok = np.flatnonzero(own[:n] == own[words - 1 :])
+    return own[ok], g[place[ok]], a[place[ok]], a[ok], s[ok], e[ok], _hash(sums, s[ok], e[ok])
+
+
+def _text_passages(ids: list[int], texts: pa.Array, words: int, limit: int = TABLE >> 1):
+    """(key, anchor hash, anchor place, first byte, last byte, hash) arrays of the passages of texts, places in the text. A text over limit bytes comes in pieces; a passage over OVERLAP bytes may be left out of it."""
+    held, size = [], 0
+
+    def found():
+        off = np.cumsum([0, *(len(x) + 1 for *_, x in held)])
+        own, g, pos, first, s, e, h = passages(np.concatenate([y for *_, x in held for y in (x, np.full(1, 10, np.uint8))]), off, words)
+        key, at, stop, lo, size = (np.array(x, np.int64)[own] for x in zip(*((k, at, stop, lo, total) for k, at, stop, lo, total, _ in held), strict=True))
+        move = lo - off[:-1][own]
+        edge = off[1:][own] - 1 + move
+        mine = np.flatnonzero((first + move >= at) & (first + move < stop) & ((e + move < edge) | (edge == size)))
+        return [x[mine] for x in (key, g.view(np.int64), pos + move, s + move, e + move, h.view(np.int64))]
+
+    for k, t in zip(ids, texts, strict=True):
+        raw = np.frombuffer(t.as_buffer(), np.uint8) if t.is_valid and len(t.as_buffer()) else np.zeros(0, np.uint8)
+        for at in range(0, max(1, len(raw)), limit):
+            lo = max(0, at - 1)
+            part = raw[lo : at + limit + OVERLAP]
+            if held and size + len(part) + 1 > limit + OVERLAP:
+                yield found()
+                held, size = [], 0
+            held.append((k, at, at + limit, lo, len(raw), part))
+            size += len(part) + 1
+    if held:
+        yield found()
+
+
+def repeated_passages(docs: DataFrame, words: int) -> DataFrame:
+    """(rk, s, e): byte spans of texts of docs(doc_id, text, rk) that are so many words, byte for byte, and also come elsewhere. Spans may overlap."""
+    text = docs.filter("text is not null").select("rk", "text")
+    several = lambda df, col, name: stored(df.groupBy(col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(col), name)
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+    def find(batches):
+        for batch in batches:
+            for b in slices(batch, "text", TABLE >> 1):
+                for key, g, pos, *_ in _text_passages(b.column("rk").to_pylist(), b.column("text"), words):
+                    one = np.flatnonzero(np.concatenate([[True], (pos[1:] != pos[:-1]) | (key[1:] != key[:-1])])[: len(pos)])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[one]) for x in (g, key, pos)], names=["a", "rk", "pos"])
+
+    def cut(batches):
+        for batch in batches:
+            for b in slices(batch, "text", TABLE >> 1):
+                want = {}
+                for rk, p in zip(b.column("rk").to_pylist(), b.column("pos").to_pylist(), strict=True):
+                    want[rk] = np.array(p, np.int64)
+                for key, _, pos, s, e, h in _text_passages(b.column("rk").to_pylist(), b.column("text"), words):
+                    keep = np.zeros(len(key), bool)
+                    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
+                    for x, y in zip(edge[:-1], edge[1:], strict=True):
+                        keep[x:y] = np.isin(pos[x:y], want[int(key[x])])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, key, s, e)], names=["h", "rk", "s", "e"])
+
+    anchors = stored(text.mapInArrow(find, "a long, rk long, pos long"), "word-anchors")
+    hot = anchors.join(small(several(anchors, "a", "word-anchors-twice")), "a").groupBy("rk").agg(F.collect_set("pos").alias("pos"))
+    found = stored(text.join(hot, "rk").mapInArrow(cut, "h long, rk long, s long, e long"), "passages")
+    return found.join(small(several(found, "h", "passages-twice")), "h").select("rk", "s", "e")
+
+
 def _merged(spans, n: int) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for s, e in sorted(spans):
@@ -319,11 +409,14 @@ def without_repeats(docs: DataFrame, length: int = MIN_LENGTH) -> DataFrame:
     return got
 
 
-def cut_repeats(docs: DataFrame, length: int = MIN_LENGTH) -> DataFrame:
-    """docs, all columns kept, with repeated strings cut out of text. Bytes of a character that a cut divides go, too; a null text stays null."""
+def cut_repeats(docs: DataFrame, length: int = MIN_LENGTH, words: int | None = None) -> DataFrame:
+    """docs, all columns kept, with repeated strings of length bytes cut out of text, and with words also repeated passages of so many words (10 at least), however short. Bytes of a character that a cut divides go, too; a null text stays null."""
     own = docs.columns
     keys = docs.withColumn("__rk", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    spans = repeated_spans(keyed(docs), length).groupBy("rk").agg(F.collect_set(F.struct("s", "e")).alias("__spans")).withColumnRenamed("rk", "__rk")
+    spans = repeated_spans(keyed(docs), length)
+    if words is not None:
+        spans = spans.unionByName(repeated_passages(keyed(docs), words))
+    spans = spans.groupBy("rk").agg(F.collect_set(F.struct("s", "e")).alias("__spans")).withColumnRenamed("rk", "__rk")
 
     @F.pandas_udf("string")
     def cut(texts, spans):

@@ -65,6 +65,32 @@ def test_repeats(docs, rows):
     assert got(repeats.without_repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=repr)
 
 
+def test_pipeline_cuts_passages_of_over_50_words(spark):
+    """Planted passages of 51 words go whatever their bytes, of 50 they stay; the first and the last word may have marks about them."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    word = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    own = lambda: " ".join(word(7) for _ in range(60))
+    short, plain, marked, fifty = (" ".join(word(n) for _ in range(k)) for n, k in ((1, 51), (4, 51), (5, 51), (5, 50)))
+    parts = [(own(), own()) for _ in range(8)]
+    join = lambda i, x: f"{parts[i][0]} {x} {parts[i][1]}"
+    inside = [short, short, plain, plain, f'"{marked}."', f"({marked},", fifty, fifty]
+    left = ["", "", "", "", '"."', "(,", fifty, fifty]
+    docs = spark.createDataFrame([(i, join(i, x), "en", "s", len(join(i, x))) for i, x in enumerate(inside)] + [(8, None, "en", "s", None), (9, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    assert max(map(len, (short, plain, marked))) < 400
+    assert got(corpus_pipeline.cut_passages(spark, docs, ""), "doc_id", "text") == sorted([*((i, join(i, x)) for i, x in enumerate(left)), (8, None), (9, "")], key=repr)
+
+
+def test_passages_of_long_texts_in_pieces():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(12)
+    texts = [random_text(rng, n) for n in (3, 80, 900, 60, 0, 51)]
+    whole, pieces_ = ({(int(k), int(s), int(e)): int(h) for part in repeats._text_passages(list(range(6)), pa.array(texts), 51, limit) for k, _, _, s, e, h in zip(*part, strict=True)} for limit in (1 << 20, 701))
+    assert whole == pieces_ and len(whole) == 30 + 850 + 10 + 1
+
+
 def test_interval_expansion_against_counting():
     rng = np.random.default_rng(1)
     for _ in range(20):
