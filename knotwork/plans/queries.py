@@ -6,7 +6,7 @@ import functools
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..core.rng import draws, linksort_frame
@@ -322,8 +322,23 @@ def link_filter(spark, sf_dir):
 COST = "pr as (select a.s_suppkey as u, b.s_suppkey as v, abs(cast(round(a.s_acctbal * 100) as bigint) - cast(round(b.s_acctbal * 100) as bigint)) as len from supplier a, supplier b where a.s_suppkey < b.s_suppkey and a.s_suppkey < 100 and b.s_suppkey < 100)"
 
 
+def supplier_line(spark, sf_dir):
+    """All suppliers u by their balance x in cents."""
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("u"), F.round(F.col("s_acctbal") * 100).cast("long").alias("x"))
+
+
+def near_pairs(spark, sf_dir, k):
+    """Pairs of suppliers among which are the k nearest of each, ties by the other's number: the next k in either order of balances, and the first k + 1 of one balance."""
+    s = supplier_line(spark, sf_dir)
+    both = [s.select(F.col("u").alias("a"), F.col("x").alias("ax"), F.array(*(F.lead(F.struct("u", "x"), i).over(w) for i in range(1, k + 1))).alias("ahead")) for w in (Window.orderBy("x", "u"), Window.orderBy(F.desc("x"), "u"))]
+    pairs = both[0].unionByName(both[1]).select("a", "ax", F.explode("ahead").alias("b")).filter("b is not null").select("a", "ax", F.col("b.u").alias("b"), F.col("b.x").alias("bx"))
+    first = s.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy("u"))).filter(F.col("r") <= k + 1).select(F.col("u").alias("b"), "x")
+    same = s.join(first, "x").filter("u <> b").select(F.col("u").alias("a"), F.col("x").alias("ax"), "b", F.col("x").alias("bx"))
+    return pairs.unionByName(same).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), F.abs(F.col("ax") - F.col("bx")).alias("len")).distinct()
+
+
 def supplier_pairs(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").filter("s_suppkey < 100").select(F.col("s_suppkey").alias("u"), F.round(F.col("s_acctbal") * 100).cast("long").alias("x"))
+    s = supplier_line(spark, sf_dir)
     t = s.select(F.col("u").alias("v"), F.col("x").alias("y"))
     return s.join(t, F.col("u") < F.col("v")).select("u", "v", F.abs(F.col("x") - F.col("y")).alias("len"))
 
@@ -332,7 +347,7 @@ def supplier_pairs(spark, sf_dir):
 k as (select * from (select *, row_number() over (partition by a order by len, b) as r from e) where r <= 4)
 select x.a as u, x.b as v, x.len from k x join k y on x.a = y.b and x.b = y.a where x.a < x.b""")
 def degree_cap(spark, sf_dir):
-    return T.degree_cap(supplier_pairs(spark, sf_dir), 100_000, 4)
+    return T.degree_cap(near_pairs(spark, sf_dir, 4), 100_000, 4)
 
 
 @query("with m as (select distinct l_orderkey as g, l_partkey as p from lineitem) select a.p as u, b.p as v, min(a.g) as first from m a join m b on a.g = b.g and a.p < b.p group by 1, 2")
@@ -490,7 +505,8 @@ def articulation(spark, sf_dir):
 
 @query("select cast(max(x) - min(x) as bigint) as total from (select cast(round(s_acctbal * 100) as bigint) as x from supplier where s_suppkey < 100)")
 def mst_total(spark, sf_dir):
-    e = supplier_pairs(spark, sf_dir).withColumn("eid", F.col("u") * 1000 + F.col("v"))
+    # on a line the least edges join neighbours
+    e = near_pairs(spark, sf_dir, 1).withColumn("eid", F.shiftleft("u", 31) + F.col("v"))
     return A.minimum_spanning_forest(e).agg(F.sum("len").alias("total"))
 
 

@@ -108,6 +108,20 @@ def test_mst_agrees(spark):
     assert total == A.prim(edges) == sum(r.len for r in got.collect())
 
 
+def test_supplier_graphs_take_all_suppliers(spark, tmp_path):
+    """Numbers on both sides of 100 and equal balances, against all pairs."""
+    from knotwork.plans import queries as Q
+
+    rng = np.random.default_rng(6)
+    x = {int(u): int(c) for u, c in zip([*range(1, 40), *range(95, 140), *range(5000, 5030)], rng.integers(0, 60, 114) * 40_000 - 900_000, strict=True)}
+    spark.createDataFrame([(u, c / 100) for u, c in x.items()], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    best = {u: sorted((abs(x[u] - x[v]), v) for v in x if v != u and abs(x[u] - x[v]) <= 100_000)[:4] for u in x}
+    want = {(u, v, n) for u in x for n, v in best[u] if u < v and (n, u) in best[v]}
+    assert {tuple(r) for r in Q.degree_cap(spark, str(tmp_path)).select("u", "v", "len").collect()} == want
+    assert Q.mst_total(spark, str(tmp_path)).first().total == max(x.values()) - min(x.values())
+    assert {r.vid: r.dist for r in Q.shortest_paths(spark, str(tmp_path)).collect()} == {v: abs(x[1] - x[v]) for v in x}
+
+
 def test_assignment_brute_force():
     rng = np.random.default_rng(3)
     for shape in ((4, 4), (3, 6), (6, 3)):
