@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from knotwork.llm import linededup, packing, repeats, shingles, toxicity
 from knotwork.llm.common import stored
+from knotwork.llm.queries import tokenizer_file
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -44,8 +45,8 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in length buckets and token-budget batches."""
-    return packing.pack(docs)
+    """Documents in buckets by length in tokens and token-budget batches."""
+    return packing.pack_tokens(docs, tokenizer_file("byte_bpe_50k.json"))
 
 
 STAGES = [("toxicity", drop_toxic), ("line dedup", drop_lines), ("jaccard join", one_per_group), ("suffix dedup", cut_passages), ("packing", pack)]

@@ -61,7 +61,7 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
 def pack(docs: DataFrame, buckets: int = 16, token_budget: int = 65_536, shards: int = 64, length: F.Column | None = None) -> DataFrame:
     """doc_id, n_tokens, bucket, bucket_len, batch_id, slot, padding of each row of docs(doc_id, text).
 
-    length: tokens of a row (default: words between white space); null or empty text has 0. The histogram is counted
+    length: tokens of a row (default: its words between white space; pack_tokens has a tokenizer's); null or empty text has 0. The histogram is counted
     over all rows and comes to the driver in at most 4096 + 2048 bins a power of two. A batch holds
     floor(token_budget / bucket_len) rows, one at least, so rows * bucket_len stays within the budget unless one
     row alone exceeds it. Rows are numbered by (hash of the row, doc_id) inside a bucket over shards: counts of shards give each
@@ -70,7 +70,19 @@ def pack(docs: DataFrame, buckets: int = 16, token_budget: int = 65_536, shards:
     """
     text = F.col("text").cast("string")
     n = length if length is not None else F.when(F.trim(text) == "", 0).otherwise(F.size(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(n, F.lit(0)).cast("long").alias("n_tokens"), F.xxhash64("doc_id", text).alias("h"))
+    return _packed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(n, F.lit(0)).cast("long").alias("n_tokens"), F.xxhash64("doc_id", text).alias("h")), buckets, token_budget, shards)
+
+
+def pack_tokens(docs: DataFrame, tokenizer: str, buckets: int = 16, token_budget: int = 65_536, shards: int = 64) -> DataFrame:
+    """As pack, by the tokens of each text under a tokenizer file; see token_counts. The hash of a row is that of its number and counts."""
+    from .tokens import token_counts
+
+    counts = token_counts(docs, tokenizer)
+    return _packed(counts.select("doc_id", "n_tokens", F.xxhash64("doc_id", "n_bytes", "n_tokens").alias("h")), buckets, token_budget, shards)
+
+
+def _packed(rows: DataFrame, buckets: int, token_budget: int, shards: int) -> DataFrame:
+    """pack of rows(doc_id, n_tokens, h)."""
     from .common import stored
 
     rows = stored(rows.withColumn("edge", bin_of(F.col("n_tokens"))).withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")), "lengths")

@@ -51,7 +51,7 @@ def op8_toxicity(spark, sf_dir):
 
 
 def op9_length_buckets(spark, sf_dir):
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    return packing.pack_tokens(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
 def op10_line_dedup(spark, sf_dir):

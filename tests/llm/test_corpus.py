@@ -243,6 +243,23 @@ def test_packing(docs, rows):
         assert sorted(r.slot for r in batch) == list(range(len(batch)))
 
 
+def test_query_and_stage_pack_by_tokens(spark, tmp_path, docs, rows):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from knotwork.llm.queries import op9_length_buckets
+
+    more = [*rows, (50, "nospacesatall" * 9000), (51, "日本語" * 3000)]
+    table = spark.createDataFrame(more, "doc_id long, text string")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    t = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    want = sorted(((i, len(t.encode(x or "", add_special_tokens=False).ids)) for i, x in more), key=repr)
+    for df in (op9_length_buckets(spark, str(tmp_path)), corpus_pipeline.pack(spark, table, str(tmp_path))):
+        assert got(df, "doc_id", "n_tokens") == want
+        batches = collections.Counter((r.bucket, r.batch_id, r.bucket_len) for r in df.collect())
+        assert all(n == 1 or n * size <= 65_536 for (*_, size), n in batches.items())
+
+
 def test_boundaries_against_all_choices():
     rng = np.random.default_rng(2)
     for _ in range(20):
