@@ -590,6 +590,13 @@ def linksort(spark, sf_dir):
     return linksort_frame(c, draws(spark, 314159, 400)).select("pos", "key", "rank")
 
 
+@query()
+def linksort_whole(spark, sf_dir):
+    """linksort over all customers, in order of their numbers; its draws are too many for a literal list."""
+    c = table(spark, sf_dir, "customer").select((F.row_number().over(Window.orderBy("c_custkey")) - 1).cast("long").alias("pos"), "c_custkey", F.floor(F.col("c_acctbal") / 1000).cast("long").alias("key"))
+    return linksort_frame(c, draws(spark, 314159, 2 * c.count())).select("c_custkey", "pos", "key", "rank")
+
+
 @query(f"with {COST} select v as vid, min(len) as dist from (select v, len from pr where u = 1 union all select u, len from pr where v = 1 union all select 1, 0) group by 1")
 def shortest_paths(spark, sf_dir):
     e = supplier_pairs(spark, sf_dir)

@@ -25,6 +25,15 @@ def test_linksort_is_a_permutation_by_falling_key():
     assert sorted(got) == sorted(items) and [k for k, _ in got] == sorted((k for k, _ in items), reverse=True)
 
 
+def test_linksort_whole_ranks_all_customers(spark, tmp_path):
+    from knotwork.plans import queries as Q
+
+    bal = {k: 100.0 * (k * 37 % 90) for k in range(3, 303)}
+    spark.createDataFrame(list(bal.items()), "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    want = [c for _, c in linksort([(int(b // 1000), k) for k, b in bal.items()], Stream(314159))]
+    assert [r.c_custkey for r in Q.linksort_whole(spark, str(tmp_path)).orderBy("rank").collect()] == want
+
+
 def test_queen(spark):
     q = X.union_of(G.board(spark, 3, 4, piece=-1), G.board(spark, 3, 4, piece=-2))
     assert (q.n(), q.m()) == (12, 92)
