@@ -519,6 +519,16 @@ def assignment(spark, sf_dir):
     return spark.createDataFrame([(A.assignment(m)[0],)], "total long")
 
 
+@query()
+def assignment_whole(spark, sf_dir):
+    """assignment over all nations; brute force in SQL ends at a few."""
+    n = table(spark, sf_dir, "nation").count()
+    m = np.zeros((n, n), np.int64)
+    for r in nation_flow(spark, sf_dir).collect():  # 25 x 25 cells
+        m[r.src, r.dst] = r.len
+    return spark.createDataFrame([(A.assignment(m)[0],)], "total long")
+
+
 @query(f"with {NF} select cast(sum(least(a.len, b.len)) as bigint) as bound from nf a join nf b on a.src = b.dst and a.dst = b.src where a.src < a.dst")
 def feed_forward_bound(spark, sf_dir):
     return A.feed_forward_bound(nation_flow(spark, sf_dir))

@@ -34,6 +34,15 @@ def test_linksort_whole_ranks_all_customers(spark, tmp_path):
     assert [r.c_custkey for r in Q.linksort_whole(spark, str(tmp_path)).orderBy("rank").collect()] == want
 
 
+def test_assignment_whole_takes_all_nations(spark, tmp_path, monkeypatch):
+    from knotwork.plans import queries as Q
+
+    m = np.random.default_rng(8).integers(1, 90, (7, 7))
+    spark.range(7).selectExpr("cast(id as int) as n_nationkey").write.parquet(f"{tmp_path}/nation.parquet")
+    monkeypatch.setattr(Q, "nation_flow", lambda spark, _: spark.createDataFrame([(i, j, int(m[i, j])) for i in range(7) for j in range(7)], "src long, dst long, len long"))
+    assert Q.assignment_whole(spark, str(tmp_path)).first().total == min(sum(m[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(7)))
+
+
 def test_queen(spark):
     q = X.union_of(G.board(spark, 3, 4, piece=-1), G.board(spark, 3, 4, piece=-2))
     assert (q.n(), q.m()) == (12, 92)
