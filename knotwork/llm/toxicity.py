@@ -1,9 +1,10 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A lexicon maps words to the symbols insult, threat, target, negation and report; four small transducers (scope of a
-negation, reported speech, target, verdict) are composed into one machine that reads the symbols of a clause and
-writes a matched event such as insult-at-target or negated-insult. Event weights start at the grammar's own values
-and are fitted to labelled rows; no word is scored outside a matched clause.
+A lexicon maps words to symbols (insult, threat, target, negation, report, the speaker, a modal, a vow, an intensifier).
+Five transducers read the symbols of a clause: insult (is it intensified), threat (bare, with a modal, or announced by
+the speaker), target (named before the head, or within the clause after it), negation (its scope in words) and reported
+speech. Composed into one machine, they write a matched event for each head. Event weights start at the grammar's own
+values and are fitted to labelled rows; no word is scored outside a matched clause.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc_of_id, slices
+from .common import bounded_batches, crc_of_id, dropped, slices, stored
 
 #: Documented bounds of the labelled sample and of what is learned from it.
 SAMPLE_ROWS, LEARNED_STEMS, MIN_POSITIVE, MIN_PRECISION = 12_000, 600, 8, 0.9
@@ -28,18 +29,42 @@ THREATS = "kill hurt destroy smash strangle murder burn tuer frapper détruire 
 TARGETS = "you your yours yourself he she they them his her their him u tu te toi vous ton ta tes votre il elle ils du dich dir dein deine ihr euch er sie tú ti usted ustedes tus su sus él ella ellos".split()
 NEGATIONS = "not no never isn't aren't wasn't don't doesn't didn't cannot can't won't nobody pas jamais aucun nicht nie kein keine nunca jamás ningún tampoco".split()
 REPORTS = "said says wrote quoted called calls reported claimed alleged told according dit écrit appelé selon sagte schrieb nannte laut dijo escribió llamó según".split()
-I, T, G, N, R, O = range(6)  # symbols: insult, threat, target, negation, report, other word
+SPEAKERS = "i we je nous ich wir yo nosotros".split()
+MODALS = "will shall should must gonna going deserve deserves sollte soll doit devrait debe debería".split()
+VOWS = "i'll we'll i'm we're werde werden vais allons voy vamos".split()
+INTENSIFIERS = "so such complete completely total totally utter utterly absolute absolutely real very most si tellement totalement völlig ganz sehr muy tan completo".split()
+SYMBOLS = I, T, G, N, R, S, M, V, X, O = range(10)  # insult, threat, target, negation, report, speaker, modal, vow, intensifier, other word
 SCOPE = 3  # words that a negation reaches
+NEAR = 2  # words that an intensifier reaches
 
-#: Prior weight of an event: (kind, negated, reported, targeted); kinds insult and threat.
-EVENTS = [(k, n, r, t) for k in (I, T) for n in (0, 1) for r in (0, 1) for t in (0, 1)]
-PRIOR = np.array([(3.0 if k == I else 1.0) + t - 1.5 * n - 1.0 * r for k, n, r, t in EVENTS])
+#: An event is (kind, level, negated, reported, target): level of an insult 0 or 1 (intensified), of a threat 0 (bare), 1 (modal) or 2 (announced); target 0 (none), 1 (before the head) or 2 (after it).
+EVENTS = [(k, v, n, r, t) for k, levels in ((I, 2), (T, 3)) for v in range(levels) for n in (0, 1) for r in (0, 1) for t in (0, 1, 2)]
+PRIOR = np.array([(3.0 + 0.3 * v if k == I else 1.0 + v) + (t > 0) - 1.5 * n - 1.0 * r for k, v, n, r, t in EVENTS])
 BIAS = -2.5
 
 _CLAUSE_END = re.compile(r"[.!?;:\n]")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 
 
+def insult(state: int, symbol: int) -> tuple[int, int]:
+    """Counts down from an intensifier; writes 1 at an insult that it reaches."""
+    return (NEAR + 1 if symbol == X else max(0, state - 1)), int(symbol == I and state > 1)
+
+
+def threat(state: int, symbol: int) -> tuple[int, int]:
+    """States: nothing, modal, speaker, both. Writes the level at a threat."""
+    if symbol == T:
+        return state, (0, 1, 0, 2)[state]
+    return (3 if symbol == V else state | 1 if symbol == M else state | 2 if symbol == S else state), 0
+
+
+def target(state: int, symbol: int) -> tuple[int, int]:
+    """States: no target, target seen, a head waits for one. Writes 1 at a head behind a target, 2 at a target that a head waits for."""
+    if symbol == G:
+        return 1, 2 * (state == 2)
+    return (2, 0) if symbol in (I, T) and state != 1 else (state, int(symbol in (I, T)))
+
+
 def negation(state: int, symbol: int) -> tuple[int, int]:
     state = SCOPE if symbol == N else max(0, state - 1)
     return state, int(state > 0 and symbol != N)
@@ -50,32 +75,43 @@ def reported(state: int, symbol: int) -> tuple[int, int]:
     return state, state
 
 
-def targeted(state: int, symbol: int) -> tuple[int, int]:
-    state = int(state or symbol == G)
-    return state, state
-
-
-def compose(parts=((negation, SCOPE + 1), (reported, 2), (targeted, 2))) -> list[list[tuple[int, tuple[int, ...]]]]:
+def compose(parts=((insult, NEAR + 2), (threat, 4), (target, 3), (negation, SCOPE + 1), (reported, 2))) -> list[list[tuple[int, tuple[int, ...]]]]:
     """Product machine: machine[state][symbol] = next state and the outputs of the parts."""
     sizes = [n for _, n in parts]
     machine = []
     for state in range(int(np.prod(sizes))):
         own = np.unravel_index(state, sizes)
         row = []
-        for symbol in range(6):
+        for symbol in SYMBOLS:
             steps = [f(int(s), symbol) for (f, _), s in zip(parts, own, strict=True)]
             row.append((int(np.ravel_multi_index([s for s, _ in steps], sizes)), tuple(o for _, o in steps)))
         machine.append(row)
     return machine
 
 
+def events(machine, symbols: list[int]) -> list[tuple[int, int, int, int, int]]:
+    """The events of a clause. All heads that wait when a target comes get it; at the end of the clause the others have none."""
+    state, out, waiting = 0, [], []
+    for s in symbols:
+        state, (strong, level, aimed, n, r) = machine[state][s]
+        if s in (I, T):
+            out.append((s, strong if s == I else level, n, r, aimed))
+            if not aimed:
+                waiting.append(len(out) - 1)
+        elif aimed:
+            for k in waiting:
+                out[k] = (*out[k][:4], aimed)
+            waiting = []
+    return out
+
+
 class Grammar:
     def __init__(self, stems: list[str]):
         import ahocorasick
 
         self.stems = set(stems)
 
-        self.symbol = {w: R for w in REPORTS} | {w: N for w in NEGATIONS} | {w: G for w in TARGETS} | {w: T for w in THREATS} | {w: I for w in INSULTS}
+        self.symbol = {w: k for k, words in ((X, INTENSIFIERS), (M, MODALS), (V, VOWS), (S, SPEAKERS), (R, REPORTS), (N, NEGATIONS), (G, TARGETS), (T, THREATS), (I, INSULTS)) for w in words}
         self.heads = ahocorasick.Automaton()
         for w, s in self.symbol.items():
             if s in (I, T):
@@ -91,24 +127,20 @@ class Grammar:
         return I if s == O and any(word[:k] in self.stems for k in STEMS if k <= len(word)) else s
 
     def clause(self, text: str, found: np.ndarray) -> None:
-        """Run the machine over a clause. A target after the insult counts too: the clause is read twice, the second time with the target state kept."""
-        symbols = [self.of(w) for w in _WORD.findall(text)]
-        state = int(G in symbols)  # targeted is the last part
-        for s in symbols:
-            state, (n, r, t) = self.machine[state][s]
-            if s in (I, T):
-                found[self.event[s, n, r, t]] += 1
+        """Count the events of a clause."""
+        for e in events(self.machine, [self.of(w) for w in _WORD.findall(text)]):
+            found[self.event[e]] += 1
 
     def features(self, text: str | None) -> np.ndarray:
         """Count of each event in the whole text."""
         found = np.zeros(len(EVENTS))
         low = (text or "").lower()
-        done = -1
+        done = -1  # where the last clause with a head ended
         for end, (n, stem) in self.heads.iter(low):
             a = end - n + 1
             if a < done or a and low[a - 1].isalpha() or not stem and end + 1 < len(low) and low[end + 1].isalpha():
                 continue
-            start = max(low.rfind(c, 0, a) for c in ".!?;:\n") + 1
+            start = max(low.rfind(c, max(done, 0), a) for c in ".!?;:\n") + 1  # no clause begins before the last one's end
             stop = m.start() if (m := _CLAUSE_END.search(low, end)) else len(low)
             self.clause(low[start:stop], found)
             done = stop
@@ -123,7 +155,8 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataF
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """Learn stems of insults and event weights from a bounded sample. Without labelled rows the grammar's own weights hold."""
-    s = sample(docs, labels).cache()
+    bounded_batches(docs.sparkSession)
+    s = stored(sample(docs, labels), "toxicity-sample")
     word = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")))
     words = s.select(F.monotonically_increasing_id().alias("d"), "toxic", word.alias("w"))
     stem = words.select("d", "toxic", F.explode(F.array(*(F.when(F.length("w") >= k, F.left("w", F.lit(k))) for k in STEMS))).alias("stem")).filter("stem is not null").distinct()
@@ -132,12 +165,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
 
     def run(batches):
         g = Grammar(insults)
-        for b in batches:
-            f = [g.features(t).astype(int).tolist() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(f, pa.list_(pa.int64()))], names=["toxic", "f"])
+        for batch in batches:
+            for b in slices(batch, "text", 1 << 20, 4096):
+                f = [g.features(t).astype(int).tolist() for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(f, pa.list_(pa.int64()))], names=["toxic", "f"])
 
     got = s.select("text", "toxic").mapInArrow(run, "toxic int, f array<long>").groupBy("toxic", "f").count().collect()
-    s.unpersist()
+    dropped(s)
     return {"insults": insults, "weights": _logistic(got)}
 
 
@@ -164,7 +198,8 @@ def _logistic(rows) -> list[float]:
 def toxicity(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 if score >= 0.5) and n_matches of each row of docs(doc_id, text).
 
-    The whole text is read. Null and empty texts get the score of no match; repeated rows get the same score.
+    The whole text is read, however long, clause by clause. Null and empty texts get the score of no match; repeated rows
+    get the same score; an empty table gives an empty result; other columns are not read.
     """
     bounded_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
@@ -174,7 +209,7 @@ def toxicity(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches):
         g, w = Grammar(shipped.value["insults"]), np.array(shipped.value["weights"])
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", 1 << 20, 4096):
                 f = np.array([g.features(t) for t in b.column("text").to_pylist()]).reshape(len(b), len(EVENTS))
                 p = 1 / (1 + np.exp(-np.clip(np.log1p(f) @ w[:-1] + w[-1], -30, 30)))
                 cols = (b.column("doc_id"), b.column("id_crc"), p, p >= 0.5, f.sum(1).astype(np.int64))
@@ -191,7 +226,7 @@ def held_out_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, all columns kept, that toxicity doesn't reject."""
+    """The rows of docs, all columns kept, that toxicity doesn't reject. Null and empty texts stay, repeated rows stay or go together; an empty table stays empty."""
     bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels.filter(crc_of_id() % 5 != 0)))
     state: dict = {}

@@ -282,7 +282,7 @@ def test_pieces_round_trip(docs, rows):
 def test_sampling_frequencies():
     lat = pieces.Lattice(open(tokenizer_file("piece_bpe_32k.model"), "rb").read(), 0.3)
     n = 20_000
-    ids, count = pieces.sample_units(lat, ["ab"], np.zeros(n, np.int64), pieces.mix(np.arange(n, dtype=np.uint64)))
+    ids, count = pieces.sample_units(pieces.Known(lat), ["ab"], np.zeros(n, np.int64), pieces.mix(np.arange(n, dtype=np.uint64)))
     weight = dict(zip(lat.piece.tolist(), np.exp(lat.weight).tolist(), strict=True))
     import sentencepiece
 
