@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..core.store import components, dropped, shared_dir, stored
 
-__all__ = ["BASE", "INV", "INVERSE", "POWER", "TABLE", "bounded_batches", "components", "crc_of_id", "dropped", "keyed", "mix", "powers", "shared_dir", "slices", "stored"]
+__all__ = ["BASE", "INV", "TABLE", "bounded_batches", "components", "crc_of_id", "dropped", "keyed", "mix", "powers", "shared_dir", "slices", "stored", "tables"]
 
 
 #: Bytes of an Arrow batch on its way to Python, where the session doesn't name another bound.
@@ -36,8 +37,8 @@ def crc_of_id() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows of about limit bytes in column, so that memory doesn't follow the length of texts."""
+def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of at most rows rows and about limit bytes in column, so that memory doesn't follow the length of texts."""
     col = batch.column(column)
     sizes = np.zeros(len(col), np.int64)
     if len(col):
@@ -45,7 +46,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator
         sizes = np.diff(off[col.offset : col.offset + len(col) + 1].astype(np.int64))
     start, total = 0, 0
     for i, s in enumerate(sizes):
-        if i > start and total + s > limit:
+        if i > start and (total + s > limit or i - start >= rows):
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += int(s)
@@ -74,8 +75,13 @@ def powers(n: int, base: np.uint64) -> np.ndarray:
         return np.cumprod(out, dtype=np.uint64)
 
 
-#: Powers of one odd base and of its inverse, for rolling hashes over blocks of TABLE bytes at most; 32 MB in each worker.
+#: Powers of one odd base and of its inverse, for rolling hashes over blocks of TABLE bytes at most.
 TABLE = 1 << 21
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INV = np.uint64(pow(int(BASE), -1, 1 << 64))
-POWER, INVERSE = powers(TABLE + 1, BASE), powers(TABLE + 1, INV)
+
+
+@lru_cache(maxsize=1)
+def tables() -> tuple[np.ndarray, np.ndarray]:
+    """base^i and base^-i for i up to TABLE: 32 MB in each worker that hashes texts, built on first use."""
+    return powers(TABLE + 1, BASE), powers(TABLE + 1, INV)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import INVERSE, POWER, TABLE, dropped, keyed, mix, slices, stored
+from .common import TABLE, dropped, keyed, mix, slices, stored, tables
 
 MIN_LENGTH, GRAM = 400, 48
 _T = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -37,7 +37,7 @@ TRANSFORM, HOT_CELLS = 1 << 19, 4096
 
 def _hash(sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix((sums[b] - sums[a]) * INVERSE[a] + (b - a).astype(np.uint64))
+        return mix((sums[b] - sums[a]) * tables()[1][a] + (b - a).astype(np.uint64))
 
 
 def _smallest(h: np.ndarray, w: int) -> np.ndarray:
@@ -56,8 +56,8 @@ def contexts(buf: np.ndarray, off: np.ndarray, length: int = MIN_LENGTH, gram: i
     if n < length:
         return (np.zeros(0, np.int64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3, np.zeros(0, np.uint64))
     with np.errstate(over="ignore"):
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(_T[buf] * POWER[:n], dtype=np.uint64)])
-        g = (sums[gram:] - sums[: n - gram + 1]) * INVERSE[: n - gram + 1] + np.uint64(gram)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(_T[buf] * tables()[0][:n], dtype=np.uint64)])
+        g = (sums[gram:] - sums[: n - gram + 1]) * tables()[1][: n - gram + 1] + np.uint64(gram)
     h = mix(g)
     place = _smallest(h, length - gram + 1)
     owner = np.repeat(np.arange(len(off) - 1), np.diff(off))[: len(place)]
@@ -298,7 +298,7 @@ def passages(buf: np.ndarray, off: np.ndarray, words: int, gram: int = WORD_GRAM
     if n < 1:
         return (np.zeros(0, np.int64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 4, np.zeros(0, np.uint64))
     with np.errstate(over="ignore"):
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(_T[buf] * POWER[: len(buf)], dtype=np.uint64)])
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(_T[buf] * tables()[0][: len(buf)], dtype=np.uint64)])
     g = _hash(sums, a[: len(a) - gram + 1], z[gram - 1 :])
     place = _smallest(g[1:], words - 1 - gram)[:n] + 1  # grams of the words inside, which are whole in every copy
     plain = np.flatnonzero(((buf >= 48) & (buf <= 57)) | ((buf >= 65) & (buf <= 90)) | ((buf >= 97) & (buf <= 122)) | (buf > 127))

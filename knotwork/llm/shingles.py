@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, INV, INVERSE, POWER, TABLE, components, dropped, keyed, mix, powers, slices, stored
+from .common import BASE, INV, TABLE, components, dropped, keyed, mix, powers, slices, stored, tables
 
 #: Shingles in HEAVY_DOCS sets or more of a block are reported as frequent, at most HEAVY_BLOCK a block; the HEAVY most frequent of all make the tail of the order.
 HEAVY_DOCS, HEAVY_BLOCK, HEAVY = 3, 4096, 1 << 17
@@ -43,10 +43,10 @@ def word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if not len(a):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
-        power, inverse = (POWER[: len(buf)], INVERSE) if len(buf) <= TABLE else (powers(len(buf), BASE), powers(len(buf), INV))
+        power, inverse = tables() if len(buf) <= TABLE else (powers(len(buf), BASE), powers(len(buf), INV))
         total = np.zeros(len(buf) + 1, np.uint64)
         total[1:] = _BYTE[low]
-        total[1:] *= power
+        total[1:] *= power[: len(buf)]
         np.cumsum(total, out=total)
         h = (total[b] - total[a]) * inverse[a]
         return mix(h + (b - a).astype(np.uint64)), np.searchsorted(off, a, "right") - 1
@@ -139,7 +139,7 @@ def trie_join(x: np.ndarray, others: list[tuple[int, np.ndarray]], num: int, den
 def _blocks(batches):
     ids, texts, held = [], [], 0
     for batch in batches:
-        for b in slices(batch, "text", BLOCK_BYTES):
+        for b in slices(batch, "text", BLOCK_BYTES, 8192):
             ids.append(b.column("rk"))
             texts.append(b.column("text"))
             held += b.column("text").nbytes + 128 * len(b)

@@ -7,6 +7,7 @@ tokenizer sees each distinct pre-token once, and the piece count times the frequ
 
 from __future__ import annotations
 
+import json
 import re
 from pathlib import Path
 
@@ -25,13 +26,18 @@ _SAFE = re.compile(rf"[ -~\n\t\r{_L}]*")
 _PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\s{_L}0-9]+|\s+(?!\S)|\s+")
 #: Where cutting before a space isn't safe: white space after it, or nothing.
 _UNSAFE = r" [\s\p{Z}\x0b\x1c-\x1f\x{85}]| \z"
-BLOCK_BYTES, BLOCK_DOCS = 24 << 20, 60_000
+#: Bytes of texts and rows that are reduced together; rows of a block are numbered in 16 bits.
+BLOCK_BYTES, BLOCK_DOCS = 8 << 20, 60_000
 OPEN_BLOCKS = 256
 
 
 def _tokenizer(spec: str):
     from tokenizers import Tokenizer
 
+    kind = json.loads(spec)
+    split = kind.get("pre_tokenizer") or {}
+    if kind.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        raise ValueError("a byte-level vocabulary with its own pattern, no added space and no normalizer is wanted")
     t = Tokenizer.from_str(spec)
     t.no_truncation()
     t.no_padding()
@@ -172,8 +178,8 @@ _COUNTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of each row of docs(doc_id, text).
 
-    tokenizer: path of a tokenizer file of the tokenizers library on the driver; its content goes to the executors
-    (a few MB, whatever the input). Counts equal encode(text, add_special_tokens=False); special strings inside a
+    tokenizer: path of a byte-level tokenizer file of the tokenizers library on the driver (others raise ValueError); its
+    content goes to the executors (a few MB, whatever the input). Counts equal encode(text, add_special_tokens=False); special strings inside a
     text count as the one token they are. A null or empty text has 0 bytes and 0 tokens; a row that comes twice is
     returned twice; an empty table gives an empty result; other columns are not read.
     """
@@ -199,7 +205,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
 
         ids, texts, held, rows = [], [], 0, 0
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", BLOCK_BYTES, BLOCK_DOCS):
                 size = int(pc.sum(pc.fill_null(pc.binary_length(b.column("text")), 0)).as_py() or 0)
                 if texts and (held + size > BLOCK_BYTES or rows + len(b) > BLOCK_DOCS):
                     yield from flush(ids, texts)
