@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import BASE, INV, TABLE, components, dropped, keyed, mix, powers, slices, stored, tables
 
 #: Shingles in HEAVY_DOCS sets or more of a block are reported as frequent, at most HEAVY_BLOCK a block; the HEAVY most frequent of all make the tail of the order.
-HEAVY_DOCS, HEAVY_BLOCK, HEAVY = 3, 4096, 1 << 17
+HEAVY_DOCS, HEAVY_BLOCK, HEAVY = 3, 4096, (1 << 16) - 1
 BLOCK_BYTES = 1 << 20
 #: So many sets at most are tried against one set in one group.
 TRIE_SETS = 256
@@ -27,8 +27,8 @@ _SEED = np.random.default_rng(20240531)
 _BYTE = _SEED.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 #: 64-bit words of a set's parity bits.
 WORDS = 8
-#: Pairs up to so many (about 40 bytes each) are broadcast to the texts; more are joined by a shuffle.
-BROADCAST_PAIRS = 400_000
+#: Pairs up to so many (about 100 bytes each) are broadcast to the texts; more are joined by a shuffle.
+BROADCAST_PAIRS = 100_000
 
 
 def word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,6 +98,23 @@ def parities(s: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def wide_parities(s: np.ndarray, off: np.ndarray) -> list[bytes | None]:
+    """As parities, with as many bits as a set has members, rounded up to a power of two; None for sets that the fixed words suit. Folding the upper half of the bits onto the lower one gives those of half the size."""
+    with np.errstate(over="ignore"):
+        place = mix(s ^ np.uint64(0x5C5C5C5C5C5C5C5C))
+    out: list[bytes | None] = []
+    for a, z in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        bits = 1 << max(z - a - 1, 0).bit_length()
+        out.append(None if bits <= 64 * WORDS else np.packbits((np.bincount((place[a:z] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool), bitorder="little").tobytes())
+    return out
+
+
+def parities_differ(x: bytes, y: bytes) -> int:
+    """Bits in which two sets' wide parities differ; the longer are folded to the length of the shorter."""
+    a, b = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    return int(np.bitwise_count(np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0) ^ a).sum())
+
+
 def _ordered(s: np.ndarray, off: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Members of each set in the global order: by (place among the frequent, hash). heavy: frequent shingles, sorted, and their places from 1, the rarest first."""
     if not len(s) or not len(heavy[0]):
@@ -106,32 +123,43 @@ def _ordered(s: np.ndarray, off: np.ndarray, heavy: tuple[np.ndarray, np.ndarray
     return s[np.lexsort((s, np.where(heavy[0][at] == s, heavy[1][at], 0), np.repeat(np.arange(len(off) - 1), np.diff(off))))]
 
 
-def trie_join(x: np.ndarray, others: list[tuple[int, np.ndarray]], num: int, den: int, rank) -> list[int]:
-    """Ids of those others whose Jaccard with x is at least num / den.
+def _sequence(s: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A set as keys in the global order read from its end: (place among the frequent, hash), largest first, as big-endian bytes compare."""
+    if len(s) and len(heavy[0]):
+        at = np.minimum(np.searchsorted(heavy[0], s), len(heavy[0]) - 1)
+        s = s | np.where(heavy[0][at] == s, heavy[1][at], 0).astype(np.uint64) << np.uint64(48)
+    return (~np.sort(s)[::-1]).astype(">u8")
 
-    The others are walked as a prefix tree: sorted by their rank sequence, so that two neighbours share the path down
+
+def trie_join(x: np.ndarray, others: list[tuple[int, np.ndarray]], num: int, den: int) -> list[int]:
+    """Ids of those others whose Jaccard with x is at least num / den; sets are ascending sequences in one global order.
+
+    The others are walked as a prefix tree: sorted by their sequences, so that two neighbours share the path down
     to their common prefix and with it the overlap counted along that path. A subtree is left when the overlap so far
     plus what remains of the shorter side can't reach what the pair needs.
     """
-    rx = rank(x)
-    seqs = sorted(((rank(y), i) for i, y in others), key=lambda t: t[0].tobytes())
-    out, path, over, dead = [], np.zeros(0, rx.dtype), np.zeros(1, np.int64), -1
-    for y, i in seqs:
+    seqs = sorted(((y, i) for i, y in others), key=lambda t: t[0].tobytes())
+    x = x.astype(np.uint64)
+    out, path, over, behind, dead = [], np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64), -1
+    for raw, i in seqs:
+        y = raw.astype(np.uint64)
         m = min(len(path), len(y))
         diff = np.flatnonzero(path[:m] != y[:m])
         common = int(diff[0]) if len(diff) else m
-        need = -(-num * (len(rx) + len(y)) // (num + den))
-        if 0 <= dead <= common and over[dead] + min(len(y) - dead, len(rx) - over[dead]) < need:
+        need = -(-num * (len(x) + len(y)) // (num + den))
+        if 0 <= dead <= common and over[dead] + min(len(y) - dead, behind[dead]) < need:
             continue  # under a node that is out of reach for this length, too
         tail = y[common:]
-        at = np.minimum(np.searchsorted(rx, tail), max(len(rx) - 1, 0))
-        over = np.concatenate([over[: common + 1], over[common] + np.cumsum(rx[at] == tail) if len(rx) else np.zeros(len(tail), np.int64)])
+        at = np.minimum(np.searchsorted(x, tail), max(len(x) - 1, 0))
+        over = np.concatenate([over[: common + 1], over[common] + np.cumsum(x[at] == tail) if len(x) else np.zeros(len(tail), np.int64)])
         path, dead = y, -1
-        bound = over + np.minimum(len(y) - np.arange(len(y) + 1), len(rx) - over)
+        # what can still follow a node: the rest of y, and of x what lies behind y's last key
+        behind = len(x) - np.concatenate([[0], np.searchsorted(x, y, "right")])
+        bound = over + np.minimum(len(y) - np.arange(len(y) + 1), behind)
         short = np.flatnonzero(bound < need)
         if len(short):
             dead = int(short[0])
-        elif den * over[-1] >= num * (len(rx) + len(y) - over[-1]):
+        elif den * over[-1] >= num * (len(x) + len(y) - over[-1]):
             out.append(i)
     return out
 
@@ -165,22 +193,22 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     """
     src = keyed(docs)
     bit = [f"w{i}" for i in range(WORDS)]
-    schema = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("a", "b", "n", *bit))])
+    schema = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("a", "b", "n", *bit)), ("wide", pa.binary())])
     text = src.select("rk", "text")
 
     def sizes(batches):
         for ids, texts in _blocks(batches):
             s, off = shingle_sets(texts, k)
             key, n = set_keys(s, off), np.diff(off)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(key), np.int32)), ids, pa.array(key), pa.array(n), *(pa.array(w) for w in np.ascontiguousarray(parities(s, off).T))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(key), np.int32)), ids, pa.array(key), pa.array(n), *(pa.array(w) for w in np.ascontiguousarray(parities(s, off).T)), pa.array(wide_parities(s, off), pa.binary())], schema=schema)
             _, one = np.unique(key, return_index=True)
             mine = np.repeat(np.isin(np.arange(len(key)), one), n)
             v, c = np.unique(s[mine], return_counts=True)
             top = np.flatnonzero(c >= HEAVY_DOCS)
             top = top[np.argsort(-c[top], kind="stable")[:HEAVY_BLOCK]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(top), np.int32)), pa.array(v[top].view(np.int64)), pa.array(np.zeros(len(top), np.int64)), pa.array(c[top].astype(np.int64)), *[pa.nulls(len(top), pa.int64())] * WORDS], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(top), np.int32)), pa.array(v[top].view(np.int64)), pa.array(np.zeros(len(top), np.int64)), pa.array(c[top].astype(np.int64)), *[pa.nulls(len(top), pa.int64())] * WORDS, pa.nulls(len(top), pa.binary())], schema=schema)
 
-    facts = stored(text.mapInArrow(sizes, ", ".join(["kind int, a long, b long, n long", *(f"{c} long" for c in bit)])), "sets")
+    facts = stored(text.mapInArrow(sizes, ", ".join(["kind int, a long, b long, n long", *(f"{c} long" for c in bit), "wide binary"])), "sets")
     frequent = facts.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(HEAVY).select("a").toPandas()["a"]  # HEAVY rows at most
     frequent = frequent.to_numpy(np.int64).view(np.uint64)
     up = np.argsort(frequent)
@@ -188,7 +216,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     rows = facts.filter("kind = 0").select(F.col("a").alias("rk"), F.col("b").alias("set_key"), F.col("n").alias("n_shingles"))
 
     one = rows.groupBy("set_key").agg(F.min("rk").alias("rk"))
-    words = stored(facts.filter("kind = 0 and n > 0").groupBy("b").agg(*(F.first(c).alias(c) for c in bit)), "parities")
+    words = stored(facts.filter("kind = 0 and n > 0").groupBy("b").agg(F.first("n").alias("n"), F.first("wide").alias("wide"), *(F.first(c).alias(c) for c in bit)), "parities")
 
     def with_words(df: DataFrame, key: str, mark: str) -> DataFrame:
         return df.join(words.select(F.col("b").alias(key), *(F.col(c).alias(c + mark) for c in bit)), key)
@@ -198,6 +226,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         differ = sum((F.bit_count(F.col(c + "x").bitwiseXOR(F.col(c + "y"))) for c in bit), F.lit(0))
         return differ * (num + den) <= (F.col(a) + F.col(b)) * (den - num)
 
+    def in_wide_reach(pairs: DataFrame) -> DataFrame:
+        """Those pairs (x, y) whose wide parities, where both have them, don't rule them out."""
+        for c in ("x", "y"):
+            pairs = pairs.join(words.filter("wide is not null").select(F.col("b").alias(c), F.col("n").alias(c + "n"), F.col("wide").alias(c + "w")), c, "left")
+
+        def reach(batches):
+            for batch in batches:
+                xw, yw = batch.column("xw"), batch.column("yw")
+                xn, yn = batch.column("xn").to_pylist(), batch.column("yn").to_pylist()
+                keep = [not (u.is_valid and v.is_valid) or parities_differ(u.as_py(), v.as_py()) * (num + den) <= (a + b) * (den - num) for u, v, a, b in zip(xw, yw, xn, yn, strict=True)]
+                yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+        return pairs.select("x", "y", "xn", "yn", "xw", "yw").mapInArrow(reach, "x long, y long")
+
     def prefixes(batches):
         for _, texts in _blocks(batches):
             s, off = shingle_sets(texts, k)
@@ -218,7 +260,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     shared = stored(post.filter("pk <> k or nk <> k"), "shared")
     first = shared.filter((F.col("fk") != F.col("k")) & near("fn", "n", "fp", "p")).select(F.col("fk").alias("x"), F.col("k").alias("y"), F.col("fn").alias("xn"), F.col("n").alias("yn")).distinct()
     first = stored(with_words(with_words(first, "x", "x"), "y", "y").filter(in_reach("xn", "yn")).select("x", "y"), "first")
-    links = stored(_verified(first, text, one, k, num, den), "links1")
+    links = _verified(in_wide_reach(first), text, one, k, num, den, heavy)
     comp = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), "cc1")
     tested = first
     for number in range(1, ROUNDS + 1):
@@ -243,31 +285,35 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         pairs = met.filter(near("n", "yn", "p", "yp") & in_reach("n", "yn")).select(F.col("k").alias("x"), "y").distinct()
         both = tested.unionByName(tested.select(F.col("y").alias("x"), F.col("x").alias("y")))
         pairs = stored(pairs.join(both, ["x", "y"], "left_anti"), "open")
-        more = stored(_verified(pairs, text, one, k, num, den), "links2")
-        dropped(label)
-        dropped(mixed)
-        dropped(open_)
+        more = _verified(in_wide_reach(pairs), text, one, k, num, den, heavy)
+        for table in (label, mixed, open_):
+            dropped(table)
         if not more.isEmpty():
             links = links.unionByName(more)
             comp = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), "cc2")
         if last:
             break
         tested = tested.unionByName(pairs)
+    dropped(shared)
+    dropped(first)
+    dropped(words)
     # Back to rows: a set's component, then the smallest doc_id of all rows in it. An empty set is alone.
     ids = src.select("rk", "doc_id")
     out = rows.join(comp, F.col("set_key") == F.col("node"), "left").select("rk", "set_key", "n_shingles", F.coalesce("component", "set_key").alias("c"))
     out = stored(ids.join(out.groupBy("rk").agg(*(F.first(c).alias(c) for c in ("set_key", "n_shingles", "c"))), "rk"), "rows")
+    dropped(facts)
     # stored, so that the join below deals out its left side by itself and can split a large component
     low = stored(out.filter("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("low")), "low")
     linked = F.when(F.col("n_shingles") > 0, F.col("low")).otherwise(F.col("doc_id"))
     return out.join(low, "c", "left").select("doc_id", "n_shingles", linked.alias("component_id"), "set_key", "rk")
 
 
-def _verified(pairs: DataFrame, text: DataFrame, one: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Those pairs (x, y) of set keys whose sets are similar enough. x's set meets groups of TRIE_SETS others at most.
+def _verified(pairs: DataFrame, text: DataFrame, one: DataFrame, k: int, num: int, den: int, heavy) -> DataFrame:
+    """Those pairs (x, y) of set keys whose sets are similar enough, as a table. x's set meets groups of TRIE_SETS others at most.
 
     one: a row key for each set key; its text gives the set. Texts without a pair are left out before anything is dealt out.
     """
+    pairs = stored(pairs, "reach")
     deg = pairs.groupBy("x").agg(F.count(F.lit(1)).alias("deg"))
     part = F.pmod(F.xxhash64("y"), F.ceil(F.col("deg") / TRIE_SETS)).cast("int")
     grouped = pairs.join(deg, "x").select("x", "y", part.alias("part"))
@@ -310,13 +356,7 @@ def _verified(pairs: DataFrame, text: DataFrame, one: DataFrame, k: int, num: in
         def decide():
             if x is None or not ys:
                 return []
-            everything = np.unique(np.concatenate([x, *(y for _, y in ys)]))
-            # ranks of this group's members: frequent ones first, so that near copies share a path
-            freq = np.bincount(np.searchsorted(everything, np.concatenate([y for _, y in ys])), minlength=len(everything))
-            place = np.empty(len(everything), np.uint32)
-            place[np.lexsort((everything, -freq))] = np.arange(len(everything), dtype=np.uint32)
-            rank = lambda v: np.sort(place[np.searchsorted(everything, v)]).astype(">u4")
-            return [(cur[0], i) for i in trie_join(x, ys, num, den, rank)]
+            return [(cur[0], i) for i in trie_join(x, ys, num, den)]
 
         for b in batches:
             cols = [b.column(c).to_pylist() for c in ("x", "part", "other", "y")]
@@ -325,7 +365,7 @@ def _verified(pairs: DataFrame, text: DataFrame, one: DataFrame, k: int, num: in
                 if (g, p) != cur:
                     out += decide()
                     cur, x, ys, held = (g, p), None, [], 0
-                m = unpack(b.column("members")[i].as_buffer())
+                m = _sequence(unpack(b.column("members")[i].as_buffer()), heavy.value)
                 if other:
                     ys.append((y, m))
                     held += m.nbytes
@@ -338,7 +378,10 @@ def _verified(pairs: DataFrame, text: DataFrame, one: DataFrame, k: int, num: in
         out = decide()
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([c for _, c in out], pa.int64())], names=["x", "y"])
 
-    return full.mapInArrow(run, "x long, y long")
+    out = stored(full.mapInArrow(run, "x long, y long"), "links")
+    dropped(todo)
+    dropped(pairs)
+    return out
 
 
 def one_of_each_group(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -145,6 +145,9 @@ def test_parities_bound_the_difference():
             a, b = shingles.parities(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)])).view(np.uint64)
             differ = sum(int(w).bit_count() for w in a ^ b)
             assert differ <= len(np.setxor1d(x, y)) and (differ == 0) == (lost == 0)
+            u, v = shingles.wide_parities(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]))
+            if u and v:
+                assert len(u) * 8 >= len(x) and differ <= shingles.parities_differ(u, v) <= len(np.setxor1d(x, y))
 
 
 def test_jaccard_rounds_of_centres(spark, monkeypatch):
@@ -167,10 +170,9 @@ def test_jaccard_rounds_of_centres(spark, monkeypatch):
 def test_trie_join_against_sets():
     rng = np.random.default_rng(3)
     for _ in range(40):
-        sets = [np.unique(rng.integers(0, 25, rng.integers(1, 20))).astype(np.uint64) for _ in range(12)]
-        rank = lambda v: np.sort(v).astype(">u4")
+        sets = [np.unique(rng.integers(0, 25, rng.integers(1, 20))).astype(">u8") for _ in range(12)]
         want = [i for i, y in enumerate(sets[1:]) if 10 * len(np.intersect1d(sets[0], y)) >= 6 * len(np.union1d(sets[0], y))]
-        assert sorted(shingles.trie_join(sets[0], list(enumerate(sets[1:])), 6, 10, rank)) == want
+        assert sorted(shingles.trie_join(sets[0], list(enumerate(sets[1:])), 6, 10)) == want
 
 
 def test_line_dedup(spark):
