@@ -29,8 +29,6 @@ _T = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) | np.u
 CELL = 64
 #: Words of a gram that can be an anchor of a passage; bytes that pieces of one text overlap by.
 WORD_GRAM, OVERLAP = 8, 1 << 16
-#: A list of repeated hashes up to so many rows is broadcast, so that a common one isn't one task's work.
-BROADCAST_ROWS = 500_000
 #: Symbols that one transform takes, about; a core with more than HOT_CELLS different cells goes by hashed strings instead, which can be split over tasks.
 TRANSFORM, HOT_CELLS = 1 << 19, 4096
 
@@ -190,8 +188,10 @@ def repeated_spans(docs: DataFrame, length: int = MIN_LENGTH) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a.view(np.int64), c.view(np.int64), ids, first + at, last + at, pos + at)], names=["a", "c", "rk", "first", "last", "pos"])
 
     ctx = stored(text.mapInArrow(find, "a long, c long, rk long, first long, last long, pos long"), "contexts")
-    anchors = ctx.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("n > 1").select("a", (F.col("lo") != F.col("hi")).alias("mixed"))
+    # stored, so that the join deals out contexts by itself and can split a common anchor
+    anchors = stored(ctx.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("n > 1").select("a", (F.col("lo") != F.col("hi")).alias("mixed")), "anchors")
     occ = stored(ctx.join(anchors, "a"), "occurrences")
+    dropped(anchors)
     whole = F.struct("rk", "first", "last", "pos")
     distinct = stored(occ.filter("mixed").groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min(whole).alias("w")), "distinct")
     dropped(ctx)
@@ -337,36 +337,56 @@ def _text_passages(ids: list[int], texts: pa.Array, words: int, limit: int = TAB
         yield found()
 
 
+def _passage_runs(key: np.ndarray, pos: np.ndarray, s: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First passage of each run of passages with one anchor, and a hash of the run: of its passages in order and of where the anchor lies."""
+    first = np.flatnonzero(np.concatenate([[True], (pos[1:] != pos[:-1]) | (key[1:] != key[:-1])])) if len(pos) else np.zeros(0, np.int64)
+    if not len(first):
+        return first, np.zeros(0, np.int64)
+    size = np.diff(np.concatenate([first, [len(pos)]]))
+    nth = (np.arange(len(pos)) - np.repeat(first, size)).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        c = np.add.reduceat(mix(h.view(np.uint64) + nth * np.uint64(0x9E3779B97F4A7C15)), first)
+        return first, mix(c + (pos[first] - s[first]).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + size.astype(np.uint64)).view(np.int64)
+
+
 def repeated_passages(docs: DataFrame, words: int) -> DataFrame:
-    """(rk, s, e): byte spans of texts of docs(doc_id, text, rk) that are so many words, byte for byte, and also come elsewhere. Spans may overlap."""
+    """(rk, s, e): byte spans of texts of docs(doc_id, text, rk) covered by passages of so many words that also come elsewhere, byte for byte. Spans may overlap.
+
+    Passages with one anchor form a run. A run that occurs twice is repeated as a whole; of the other runs with an anchor that comes twice, and of one of
+    each repeated run, the passages are counted.
+    """
     text = docs.filter("text is not null").select("rk", "text")
-    several = lambda df, col, name: stored(df.groupBy(col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(col), name)
-    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
     def find(batches):
         for batch in batches:
             for b in slices(batch, "text", TABLE >> 1):
-                for key, g, pos, *_ in _text_passages(b.column("rk").to_pylist(), b.column("text"), words):
-                    one = np.flatnonzero(np.concatenate([[True], (pos[1:] != pos[:-1]) | (key[1:] != key[:-1])])[: len(pos)])
-                    yield pa.RecordBatch.from_arrays([pa.array(x[one]) for x in (g, key, pos)], names=["a", "rk", "pos"])
+                for key, g, pos, s, e, h in _text_passages(b.column("rk").to_pylist(), b.column("text"), words):
+                    first, c = _passage_runs(key, pos, s, h)
+                    last = np.concatenate([first[1:], [len(pos)]])[: len(first)] - 1
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g[first], c, key[first], pos[first], s[first], e[last])], names=["a", "c", "rk", "pos", "s", "e"])
 
     def cut(batches):
         for batch in batches:
             for b in slices(batch, "text", TABLE >> 1):
-                want = {}
-                for rk, p in zip(b.column("rk").to_pylist(), b.column("pos").to_pylist(), strict=True):
-                    want[rk] = np.array(p, np.int64)
+                want = {(rk, x["pos"], x["s"]): x["n"] for rk, runs in zip(b.column("rk").to_pylist(), b.column("runs").to_pylist(), strict=True) for x in runs}
                 for key, _, pos, s, e, h in _text_passages(b.column("rk").to_pylist(), b.column("text"), words):
-                    keep = np.zeros(len(key), bool)
-                    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
-                    for x, y in zip(edge[:-1], edge[1:], strict=True):
-                        keep[x:y] = np.isin(pos[x:y], want[int(key[x])])
-                    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, key, s, e)], names=["h", "rk", "s", "e"])
-
-    anchors = stored(text.mapInArrow(find, "a long, rk long, pos long"), "word-anchors")
-    hot = anchors.join(small(several(anchors, "a", "word-anchors-twice")), "a").groupBy("rk").agg(F.collect_set("pos").alias("pos"))
-    found = stored(text.join(hot, "rk").mapInArrow(cut, "h long, rk long, s long, e long"), "passages")
-    return found.join(small(several(found, "h", "passages-twice")), "h").select("rk", "s", "e")
+                    first, _ = _passage_runs(key, pos, s, h)
+                    size = np.diff(np.concatenate([first, [len(pos)]])) if len(first) else first
+                    n = np.repeat(np.array([want.get(x, 0) for x in zip(key[first].tolist(), pos[first].tolist(), s[first].tolist(), strict=True)], np.int64), size)
+                    keep = n > 0
+                    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, n, key, s, e)], names=["h", "n", "rk", "s", "e"])
+
+    runs = stored(text.mapInArrow(find, "a long, c long, rk long, pos long, s long, e long"), "runs")
+    anchors = stored(runs.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("n > 1").select("a", (F.col("lo") != F.col("hi")).alias("mixed")), "word-anchors")
+    occ = stored(runs.join(anchors, "a"), "run-occurrences")
+    dropped(anchors)
+    dropped(runs)
+    distinct = stored(occ.filter("mixed").groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rk", "pos", "s")).alias("w")), "run-kinds")
+    full = occ.filter("not mixed").select("rk", "s", "e").unionByName(occ.filter("mixed").join(distinct.filter("n > 1").select("a", "c"), ["a", "c"]).select("rk", "s", "e"))
+    want = distinct.groupBy(F.col("w.rk").alias("rk")).agg(F.collect_list(F.struct("w.pos", "w.s", F.least(F.col("n"), F.lit(2)).cast("long").alias("n"))).alias("runs"))
+    found = stored(text.join(want, "rk").mapInArrow(cut, "h long, n long, rk long, s long, e long"), "passages")
+    twice = stored(found.groupBy("h").agg(F.sum("n").alias("total")).filter("total > 1").select("h"), "passages-twice")
+    return full.unionByName(found.filter("n = 1").join(twice, "h").select("rk", "s", "e"))
 
 
 def _merged(spans, n: int) -> list[tuple[int, int]]:
@@ -379,19 +399,23 @@ def _merged(spans, n: int) -> list[tuple[int, int]]:
     return [(s, min(e, n)) for s, e in out]
 
 
-def _joined(docs: DataFrame, length: int, extra: list[str]) -> DataFrame:
-    spans = repeated_spans(docs, length).groupBy("rk").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    return docs.select("rk", "doc_id", "text", *extra).join(spans, "rk", "left")
-
-
-def without_repeats(docs: DataFrame, length: int = MIN_LENGTH) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = MIN_LENGTH, words: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of each row of docs(doc_id, text).
 
     A byte goes if a string of length bytes that covers it also starts at another place, in this text or another;
     strings are judged on the input. Null and empty texts have 0 bytes. Rows equal in doc_id and text are two
     texts, so that both lose all they share; an empty table gives an empty result. A very long text is one row's work, in pieces of 2 MB.
+
+    With words two columns follow, which leave the others as they are: n_passages, the maximal runs that repeated passages of
+    so many words cover, however few bytes they have, and clean_text, the text without them and without the repeated strings.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+    more = [("n_passages", pa.int64()), ("clean_text", pa.string())] if words is not None else []
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), *more])
+    docs = keyed(docs)
+    spans = repeated_spans(docs, length).withColumn("words", F.lit(False))
+    if words is not None:
+        spans = spans.unionByName(repeated_passages(docs, words).withColumn("words", F.lit(True)))
+    spans = spans.groupBy("rk").agg(F.collect_set(F.struct("words", "s", "e")).alias("spans"))
 
     def run(batches):
         for batch in batches:
@@ -399,14 +423,21 @@ def without_repeats(docs: DataFrame, length: int = MIN_LENGTH) -> DataFrame:
                 out = []
                 for i, t, spans in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
                     raw = (t or "").encode()
-                    cut = _merged([(x["s"], x["e"]) for x in spans or ()], len(raw))
-                    edge = [0, *(x for s in cut for x in s), len(raw)]
-                    kept = b"".join(raw[a:z] for a, z in zip(edge[::2], edge[1::2], strict=True))
-                    out.append((i, len(raw), len(raw) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), kept))
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * 6, schema, strict=True)], schema=schema)
+                    found = [[(x["s"], x["e"]) for x in spans or () if x["words"] == kind] for kind in (False, True)]
+                    cut = _merged(found[0], len(raw))
+                    kept = _left(raw, cut)
+                    row = (i, len(raw), len(raw) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), kept)
+                    if more:
+                        row += (len(_merged(found[1], len(raw))), None if t is None else _left(raw, _merged(found[0] + found[1], len(raw))).decode("utf-8", "ignore"))
+                    out.append(row)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * len(schema), schema, strict=True)], schema=schema)
+
+    return docs.select("rk", "doc_id", "text").join(spans, "rk", "left").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary" + ", n_passages long, clean_text string" * bool(more))
+
 
-    got = _joined(keyed(docs), length, []).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return got
+def _left(raw: bytes, cut: list[tuple[int, int]]) -> bytes:
+    edge = [0, *(x for s in cut for x in s), len(raw)]
+    return b"".join(raw[a:z] for a, z in zip(edge[::2], edge[1::2], strict=True))
 
 
 def cut_repeats(docs: DataFrame, length: int = MIN_LENGTH, words: int | None = None) -> DataFrame:
@@ -428,8 +459,7 @@ def cut_repeats(docs: DataFrame, length: int = MIN_LENGTH, words: int | None = N
                 out.append(t)
                 continue
             raw = t.encode()
-            edge = [0, *(x for p in _merged([(x["s"], x["e"]) for x in s], len(raw)) for x in p), len(raw)]
-            out.append(b"".join(raw[a:z] for a, z in zip(edge[::2], edge[1::2], strict=True)).decode("utf-8", "ignore"))
+            out.append(_left(raw, _merged([(x["s"], x["e"]) for x in s], len(raw))).decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 
     return keys.join(spans, "__rk", "left").withColumn("text", cut(F.col("text").cast("string"), F.col("__spans"))).select(*own)

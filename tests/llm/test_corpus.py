@@ -79,7 +79,14 @@ def test_pipeline_cuts_passages_of_over_50_words(spark):
     left = ["", "", "", "", '"."', "(,", fifty, fifty]
     docs = spark.createDataFrame([(i, join(i, x), "en", "s", len(join(i, x))) for i, x in enumerate(inside)] + [(8, None, "en", "s", None), (9, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     assert max(map(len, (short, plain, marked))) < 400
-    assert got(corpus_pipeline.cut_passages(spark, docs, ""), "doc_id", "text") == sorted([*((i, join(i, x)) for i, x in enumerate(left)), (8, None), (9, "")], key=repr)
+    want = sorted([*((i, join(i, x)) for i, x in enumerate(left)), (8, None), (9, "")], key=repr)
+    assert got(corpus_pipeline.cut_passages(spark, docs, ""), "doc_id", "text") == want
+    # the query says so too, and its other columns don't change
+    both = repeats.without_repeats(docs, words=51)
+    assert got(both, "doc_id", "clean_text") == want and got(both, "doc_id", "n_passages") == sorted([(i, int(i < 6)) for i in range(10)], key=repr)
+    cols = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    assert got(both, *cols) == got(repeats.without_repeats(docs), *cols)
+    assert repeats.without_repeats(docs.limit(0), words=51).count() == 0
 
 
 def test_passages_of_long_texts_in_pieces():
@@ -338,3 +345,31 @@ def test_estimates_are_unbiased():
     est, half = vectors.estimated((a @ r.T), np.where(rot > 0, 1.0, -1.0), np.abs(rot).sum(1) / np.sqrt(d))
     err = est - a @ b.T
     assert abs(err.mean()) < 0.002 and (np.abs(err) <= half[None, :]).mean() > 0.999
+
+
+def test_repeated_passages_against_counting(spark):
+    """Every passage of so many words counted, in texts that share runs of words of all lengths; also with texts cut into pieces."""
+    rng = random.Random(21)
+    pool = [" ".join(rng.choices(["al", "be", "ga", "de", "ep"], k=60)) for _ in range(4)]
+    texts = []
+    for _ in range(40):
+        w = []
+        for _ in range(rng.randrange(1, 5)):
+            some = rng.choice(pool).split()
+            a = rng.randrange(40)
+            w += some[a : a + rng.randrange(1, 30)] + rng.choices(["zu", "yo", "xi"], k=rng.randrange(3))
+        texts.append(" ".join(w))
+    texts += [texts[0], texts[1]]
+    count = collections.Counter()
+    places = []
+    for t in texts:
+        at = [m.span() for m in re.finditer(r"\S+", t)]
+        own = [(at[k][0], at[k + 11][1]) for k in range(len(at) - 11)]
+        places.append(own)
+        count.update(t[a:z] for a, z in own)
+    want = [sorted({x for a, z in own if count[t[a:z]] > 1 for x in range(a, z)}) for t, own in zip(texts, places, strict=True)]
+    df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, rk long").repartition(3)
+    gone = collections.defaultdict(set)
+    for r in repeats.repeated_passages(df, 12).collect():
+        gone[r.rk] |= set(range(r.s, r.e))
+    assert [sorted(gone[i]) for i in range(len(texts))] == want and any(want)
