@@ -29,6 +29,8 @@ _UNSAFE = r" [\s\p{Z}\x0b\x1c-\x1f\x{85}]| \z"
 #: Bytes of texts and rows that are reduced together; rows of a block are numbered in 16 bits.
 BLOCK_BYTES, BLOCK_DOCS = 8 << 20, 60_000
 OPEN_BLOCKS = 256
+#: Chunks whose pre-tokens, and pre-tokens whose pieces, a worker remembers (about 200 and 100 bytes each); beyond that it starts anew.
+KNOWN_CHUNKS, KNOWN_TOKENS = 50_000, 300_000
 
 
 def _tokenizer(spec: str):
@@ -67,7 +69,7 @@ class _Splitter:
             return _PATTERN.findall(c)
         got = self.known.get(c)
         if got is None:
-            if len(self.known) > 500_000:
+            if len(self.known) > KNOWN_CHUNKS:
                 self.known.clear()
             got = self.known[c] = self.whole(c)
         return got
@@ -78,7 +80,7 @@ def _block(split: _Splitter, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.
     odd = pc.match_substring_regex(texts, "|".join([_UNSAFE, *map(re.escape, split.names)])).to_numpy(zero_copy_only=False)
     plain = ~odd
     vocab: dict[str, int] = {}
-    toks, docs = [], []
+    toks = []  # pre-token and, in the lower 16 bits, document
     at = np.flatnonzero(plain)
     if len(at):
         parts = pc.split_pattern(texts.take(pa.array(at)), " ")
@@ -86,30 +88,29 @@ def _block(split: _Splitter, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.
         first = np.zeros(int(lens.sum()), bool)
         first[np.cumsum(lens) - lens] = True
         flat = parts.flatten().dictionary_encode()
-        code = flat.indices.to_numpy().astype(np.int64) * 2 + ~first  # odd: a space came before it
+        code = flat.indices.to_numpy().astype(np.int32) * 2 + ~first  # odd: a space came before it
         seen = np.zeros(2 * len(flat.dictionary), bool)
         seen[code] = True
         chunks = np.flatnonzero(seen)
-        inverse = (np.cumsum(seen) - 1)[code]
+        inverse = (np.cumsum(seen, dtype=np.int32) - 1)[code]
         names = flat.dictionary.to_pylist()
-        ids, width = [], np.empty(len(chunks), np.int64)
+        ids, width = [], np.empty(len(chunks), np.int32)
         for k, c in enumerate(chunks.tolist()):
             s = names[c >> 1]
             got = split.chunk(" " + s if c & 1 else s) if s or c & 1 else []
             width[k] = len(got)
             ids += [vocab.setdefault(x, len(vocab)) for x in got]
-        start = np.cumsum(width) - width
+        start = np.cumsum(width, dtype=np.int32) - width
         n = width[inverse]
-        where = np.repeat(start[inverse] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        toks.append(np.asarray(ids, np.int64)[where])
-        docs.append(np.repeat(np.repeat(at, lens), n))
+        where = np.repeat(start[inverse] - (np.cumsum(n, dtype=np.int32) - n), n) + np.arange(int(n.sum()), dtype=np.int32)
+        toks.append(np.asarray(ids, np.int64)[where] << 16)
+        toks[-1] |= np.repeat(np.repeat(at, lens), n)
     for d in np.flatnonzero(odd):
         got = split.whole(texts[int(d)].as_py())
-        toks.append(np.fromiter((vocab.setdefault(x, len(vocab)) for x in got), np.int64, len(got)))
-        docs.append(np.full(len(got), d))
+        toks.append(np.fromiter((vocab.setdefault(x, len(vocab)) for x in got), np.int64, len(got)) << 16 | d)
     if not toks:
         return pa.array([], pa.string()), *(np.zeros(0, np.int64),) * 3
-    pair, freq = np.unique(np.concatenate(toks) << 16 | np.concatenate(docs), return_counts=True)
+    pair, freq = np.unique(np.concatenate(toks), return_counts=True)
     return pa.array(list(vocab), pa.string()), pair >> 16, pair & 0xFFFF, freq
 
 
@@ -238,7 +239,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
             enc = b.column("token").dictionary_encode()
             names = enc.dictionary.to_pylist()
             new = [x for x in names if x not in pieces]
-            if len(pieces) + len(new) > 2_000_000:
+            if len(pieces) + len(new) > KNOWN_TOKENS:
                 pieces.clear()
                 new = names
             pieces.update(count_pieces(tok, special, new))
