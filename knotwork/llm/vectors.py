@@ -96,6 +96,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     Rows link when the cosine in double precision is at least threshold. Null and zero vectors, and vectors with null or
     non-finite components, link with nothing; vectors of different length don't link. n_links counts other rows; equal
     vectors are one class with a multiplicity, and so are many copies. component_id is the smallest vec_id reachable.
+    Equal vectors are told by a 64-bit hash; an empty table gives an empty result; other columns are not read.
     Rows with one vec_id count as separate vectors. No linked pair is below the threshold; a pair at the threshold is missed with probability
     MISS at most (fewer for more similar ones), as pairs are found in buckets of sign bits. Inside a bucket, rotated binary codes
     with their correction factors give an estimate and a bound, and only pairs that the bound doesn't rule out are computed exactly.
@@ -182,8 +183,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
 class BallTree:
     """Balls over integer vectors: each node's centre, radius and rows; halves by the widest component until LEAF rows."""
 
-    def __init__(self, x: np.ndarray):
-        self.x = x
+    def __init__(self, x: np.ndarray, whole: np.ndarray | None = None):
+        """whole: x as 64-bit integers, where sums of products don't fit into a double exactly."""
+        self.x, self.whole = x, whole
         self.nodes: list[tuple[np.ndarray, float, np.ndarray, tuple[int, int] | None]] = []
         self._build(np.arange(len(x)))
 
@@ -206,13 +208,14 @@ class BallTree:
         b = q @ centre + norm * radius
         return b + 1e-9 * np.abs(b) + 1e-6 * (1 + norm * (np.sqrt(centre @ centre) + radius) * 1e-6)
 
-    def search(self, q: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, q: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, start: np.ndarray, whole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Scores and ids of the k best rows for each query. start: scores that k rows elsewhere are known to reach.
 
         Nodes come off a heap by their largest upper bound; queries whose kth score is above the bound leave a node.
         """
         none = np.iinfo(np.int64).max
-        best, who = np.full((len(q), k), -np.inf), np.full((len(q), k), none)
+        worst, falling = (-np.inf, np.negative) if whole is None else (np.iinfo(np.int64).min, np.invert)
+        best, who = np.full((len(q), k), worst), np.full((len(q), k), none)
         norm = np.sqrt((q * q).sum(1))
         heap = [(0.0, 0, np.arange(len(q)), self.bounds(q, norm, 0))]
         while heap:
@@ -228,10 +231,14 @@ class BallTree:
                     heapq.heappush(heap, (-float(b.max()), kid, active, b))
                 continue
             score = q[active] @ self.x[rows].T
-            score[own[active][:, None] == ids[rows][None, :]] = -np.inf
+            if whole is not None:
+                if np.abs(score).max(initial=0) >= 2.0**63:
+                    raise OverflowError("an inner product is beyond the range of long")
+                score = whole[active] @ self.whole[rows].T
+            score[own[active][:, None] == ids[rows][None, :]] = worst
             both = np.concatenate([best[active], score], axis=1)
             name = np.concatenate([who[active], np.broadcast_to(ids[rows], score.shape)], axis=1)
-            order = np.lexsort((name, -both), axis=1)[:, :k]
+            order = np.lexsort((name, falling(both)), axis=1)[:, :k]
             best[active], who[active] = np.take_along_axis(both, order, 1), np.take_along_axis(name, order, 1)
         return best, who
 
@@ -246,7 +253,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
 
     Components are floor(256 * x); scores are exact integers, ties go to the smaller vec_id. Rows with a null vec_id, a
     null vector or null or non-finite components take no part, nor do pairs of different length. Rows with a query's own vec_id are its own.
-    A vec_id that comes twice is two candidates; as a query it is answered once. Components must keep sums below 2^53, else ValueError.
+    A vec_id that comes twice is two candidates; as a query it is answered once. Where components are so large that sums
+    may pass 2^53, products are summed in 64-bit integers; a score beyond long raises OverflowError. An empty table gives an empty result.
 
     Shards of about SHARD rows have a ball tree each; blocks of queries meet shards, so no task holds all rows or all
     queries. A first round over one shard gives each query a score that k rows reach; the other shards start from it,
@@ -255,8 +263,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & usable(F.col("embedding").cast("array<double>")))
     rows = rows.select("vec_id", quantised(F.col("embedding")).alias("x"))
     facts = rows.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("q"), F.max(F.size("x")).alias("d"), F.max(F.greatest(F.array_max("x"), -F.array_min("x"))).alias("top")).first()
-    if facts["n"] and facts["d"] * facts["top"] ** 2 >= 1 << 53:
-        raise ValueError("components too large for exact scores in double precision")
+    large = bool(facts["n"]) and facts["d"] * facts["top"] ** 2 >= 1 << 53
     shards, blocks = max(1, -(-facts["n"] // SHARD)), max(1, -(-(facts["q"] or 0) // QUERY_BLOCK))
     rows = rows.withColumn("d", F.size("x")).withColumn("shard", F.pmod(F.xxhash64("vec_id", "x"), F.lit(shards)).cast("int"))
     ask = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
@@ -271,8 +278,10 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
         own = q.column("vec_id").to_numpy()
         start = q.column("start").to_numpy().astype(np.float64)
         start[np.isnan(start)] = -np.inf
-        best, who = BallTree(_matrix(c.column("x").combine_chunks())).search(_matrix(q.column("x").combine_chunks()), own, ids, k, start)
-        m = np.isfinite(best)
+        cx, qx = c.column("x").combine_chunks(), q.column("x").combine_chunks()
+        cw, qw = (_matrix(cx, np.int64), _matrix(qx, np.int64)) if large else (None, None)
+        best, who = BallTree(_matrix(cx), cw).search(_matrix(qx), own, ids, k, start, qw)
+        m = best > np.iinfo(np.int64).min  # a query itself and empty places have no score
         return pa.table([pa.array(np.repeat(own, m.sum(1))), pa.array(who[m]), pa.array(best[m].astype(np.int64))], names=names)
 
     def round_(only: F.Column, ask: DataFrame, numbers: F.Column) -> DataFrame:
