@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,12 +30,19 @@ def ranked_characters(spark: SparkSession, path: str, n: int = 0, x: int = 0, fi
     return spark.createDataFrame(table, "vid long, code string, name string, descr string, n_in long, n_out long"), scenes.filter(F.col("chapter").between(first, last))
 
 
+def _book_id(kind: str, path: str, scenes: DataFrame, args: dict) -> str:
+    first, last = scenes.agg(F.min("chapter"), F.max("chapter")).first()
+    got = {"first": first, "last": last} | {k: v for k, v in args.items() if k not in ("first", "last")}
+    numbers = (got.get(k, 0) for k in ("n", "x", "first", "last", "in_weight", "out_weight", "seed"))
+    return f'{kind}("{Path(path).stem}",{",".join(map(str, numbers))})'
+
+
 def book(spark: SparkSession, path: str, **args) -> Graph:
     """Characters joined where they meet in a scene; arcs keep the first chapter."""
     v, scenes = ranked_characters(spark, path, **args)
     met = scenes.join(v.select("code", "vid"), "code").select((F.col("chapter") * 10_000 + F.col("scene")).alias("place"), "vid")
     e = clique_edges(met, "place", "vid").withColumn("chapter", F.floor(F.col("first") / 10_000)).drop("first").withColumn("len", F.lit(1).cast("long"))
-    return Graph(v, edges_to_arcs(e, ["chapter", "u", "v"]), "book", "IZZIISIZZZZZZZ")
+    return Graph(v, edges_to_arcs(e, ["chapter", "u", "v"]), _book_id("book", path, scenes, args), "IZZIISIZZZZZZZ")
 
 
 def bi_book(spark: SparkSession, path: str, **args) -> Graph:
@@ -43,7 +52,7 @@ def bi_book(spark: SparkSession, path: str, **args) -> Graph:
     low = scenes.agg(F.min("chapter")).first()[0]
     e = scenes.join(v.select("code", "vid"), "code").select(F.col("vid").alias("u"), (F.col("chapter") - low + n1).cast("long").alias("v")).distinct().withColumn("len", F.lit(1).cast("long"))
     chap = scenes.select((F.col("chapter") - low + n1).cast("long").alias("vid"), F.col("label").alias("name")).distinct()
-    return Graph(v.unionByName(chap, allowMissingColumns=True), edges_to_arcs(e, ["v", "u"]), "bi_book").bipartite(n1)
+    return Graph(v.unionByName(chap, allowMissingColumns=True), edges_to_arcs(e, ["v", "u"]), _book_id("bi_book", path, scenes, args), "IZZIISIZZZZZZZ").bipartite(n1)
 
 
 def econ(spark: SparkSession, path: str, threshold: int = 0) -> Graph:
@@ -60,16 +69,19 @@ def games(spark: SparkSession, path: str, n: int = 0, ap0: int = 0, upi0: int =
     """The n best teams by weighted polls, two arcs for each game between them from day first to last; len is the own score."""
     from .tables import match_pairs
 
+    if max(map(abs, (ap0, upi0, ap1, upi1))) > 1 << 17:
+        raise PanicError(BAD_SPECS)
+    last = last if 0 < last <= 128 else 128
     teams, played = datafile.games_tables(spark, path)
     rows = teams.orderBy(F.desc("pos")).collect()  # 120 teams
     items = [(r.ap0 * ap0 + r.upi0 * upi0 + r.ap1 * ap1 + r.upi1 * upi1 + (1 << 30), r) for r in rows]
     order = linksort(items, Stream(seed))[: n or None]
-    v = spark.createDataFrame([(k, r.name, r.abbr, r.nick, r.conf) for k, (_, r) in enumerate(order)], "vid long, name string, abbr string, nick string, conf string")
-    g = played.filter(F.col("day").between(first, last or 128))
+    v = spark.createDataFrame([(k, r.name, r.abbr, r.nick, r.conf, r.ap0 << 16 | r.ap1, r.upi0 << 16 | r.upi1) for k, (_, r) in enumerate(order)], "vid long, name string, abbr string, nick string, conf string, ap long, upi long")
+    g = played.filter(F.col("day").between(first, last))
     g = g.join(v.select(F.col("vid").alias("a"), F.col("abbr").alias("team_a")), "team_a").join(v.select(F.col("vid").alias("b"), F.col("abbr").alias("team_b")), "team_b")
     # venue 1: the first team is away, so it is the arc of the home team that has 3
     arcs = match_pairs(g).withColumn("k", F.monotonically_increasing_id()).select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("len").cast("long").alias("len"), "venue", "day", F.col("mate").alias("mate_len"))
-    return Graph(v, ordered_arcs(arcs, ["day", F.least("u", "v"), F.greatest("u", "v"), "u"]), "games", "IIZSSSIIZZZZZZ")
+    return Graph(v, ordered_arcs(arcs, ["day", F.least("u", "v"), F.greatest("u", "v"), "u"]), f"games({len(order)},{ap0},{upi0},{ap1},{upi1},{first},{last},{seed})", "IIZSSSIIZZZZZZ")
 
 
 def roget(refs: list[tuple[int, int]], n: int, min_distance: int, prob: int, seed: int, total: int = 1022) -> list[tuple[int, int]]:

@@ -82,20 +82,21 @@ def write_lines(path: str | Path, title: str, data: list[str]) -> None:
 
 
 def book_tables(spark: SparkSession, path: str | Path) -> tuple[DataFrame, DataFrame]:
-    """characters(pos, code, name, descr) and scenes(chapter, label, scene, code) of a book file; a label & goes on with the chapter before."""
+    """characters(pos, code, name, descr) and scenes(chapter, label, scene, code) of a book file; a label & goes on with the chapter before, and so do its scenes' numbers."""
     lines = read_lines(path)
     gap = lines.index("")
     cast = []
     for k, x in enumerate(lines[:gap]):
         name, _, descr = x[3:].partition(", ")
         cast.append((k, x[:2], name, descr))
-    scenes, chapter, label = [], 0, ""
+    scenes, chapter, label, scene = [], 0, "", 0
     for x in lines[gap + 1 :]:
         head, _, rest = x.partition(":")
         if not head.startswith("&"):
-            chapter, label = chapter + 1, head
-        for k, s in enumerate(rest.split(";") if rest else []):
-            scenes += [(chapter, label, k, c) for c in s.split(",") if c]
+            chapter, label, scene = chapter + 1, head, 0
+        for s in rest.split(";") if rest else []:
+            scenes += [(chapter, label, scene, c) for c in s.split(",") if c]
+            scene += 1
     return spark.createDataFrame(cast, "pos int, code string, name string, descr string"), spark.createDataFrame(scenes, "chapter int, label string, scene int, code string")
 
 
@@ -141,7 +142,7 @@ def games_tables(spark: SparkSession, path: str | Path) -> tuple[DataFrame, Data
             teams.append((len(teams), m[1], m[2], m[3], m[4], *(number(v) for v in m.groups()[4:])))
         elif x.startswith(">"):
             day = day_of(x[1:])
-        elif m := re.fullmatch(r"([A-Z]+)(\d+)([@,])([A-Z]+)(\d+)", x):
+        elif m := re.fullmatch(r"([^\d;(]+)(\d+)([@,])([^\d;(]+)(\d+)", x):
             games.append((day, m[1], int(m[2]), 1 if m[3] == "@" else 2, m[4], int(m[5])))
         else:
             raise PanicError(SYNTAX_ERROR, x)
