@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..core.graph import BAD_SPECS, Graph, PanicError, edges_to_arcs, ordered_arcs
 from ..core.rng import Stream, linksort
 from ..sources import datafile
-from .tables import clique_edges, in_out_counts
+from .tables import clique_edges, greedy_hierarchy, in_out_counts
 
 LIMIT = 1_000_000
 
@@ -55,14 +55,100 @@ def bi_book(spark: SparkSession, path: str, **args) -> Graph:
     return Graph(v.unionByName(chap, allowMissingColumns=True), edges_to_arcs(e, ["v", "u"]), _book_id("bi_book", path, scenes, args), "IZZIISIZZZZZZZ").bipartite(n1)
 
 
-def econ(spark: SparkSession, path: str, threshold: int = 0) -> Graph:
-    """Sectors joined by flows above threshold / 65536 of the receiver's total."""
-    from .tables import flow_merge
-
-    sectors, flows = datafile.econ_tables(spark, path)
-    leaf = sectors.filter("sic is not null").select(F.col("sic").cast("long").alias("vid"), F.col("title").alias("name"))
-    arcs = flow_merge(flows.withColumnRenamed("flow", "len"), leaf.select("vid", F.col("vid").alias("image")), threshold)
-    return Graph(leaf, ordered_arcs(arcs.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(1).cast("long").alias("len"), "flow"), ["u", "v"]), "econ", "ZZZZIAIZZZZZZZ")
+#: The two sectors that aren't in the tree, by code.
+ADJUSTMENTS, USERS = 80, 81
+
+
+def subtree_counts(kids: dict[int, tuple[int, int]], root: int) -> dict[int, dict[int, int]]:
+    """For each node the number of subtrees from it down with k leaves: products of the children's counts, or the node alone."""
+    ways: dict[int, dict[int, int]] = {}
+    for p in range(root + len(kids) * 2, root - 1, -1):  # preorder numbers, so children come first this way
+        w = {1: 1}
+        for j, x in ways[kids[p][0]].items() if p in kids else ():
+            for k, y in ways[kids[p][1]].items():
+                w[j + k] = w.get(j + k, 0) + x * y
+        ways[p] = w
+    return ways
+
+
+def random_subtree(kids: dict[int, tuple[int, int]], root: int, leaves: int, stream: Stream) -> set[int]:
+    """The leaves of a random subtree from the root down with so many of them, all such subtrees being (nearly) equally likely.
+
+    The root's counts pass 31 bits where 29 < leaves < 67; there the left side's are taken in units of 1024, rounded up.
+    """
+    ways, out, todo = subtree_counts(kids, root), set(), [(root, leaves)]
+    while todo:  # in preorder, as the draws go
+        p, n = todo.pop()
+        if n == 1 or p not in kids:
+            out.add(p)
+            continue
+        left, right = kids[p]
+        if left not in kids or right not in kids:
+            mine = 1 if left not in kids else n - 1
+        else:
+            scaled = p == root and 29 < n < 67
+            size = lambda k, a=ways[left], b=ways[right], n=n, scaled=scaled: (a.get(k, 0) + 1023 >> 10 if scaled else a.get(k, 0)) * b.get(n - k, 0)
+            low = max(1, n - max(ways[right]))
+            rest = stream.below(sum(size(k) for k in range(low, min(n - 1, max(ways[left])) + 1)))
+            mine = low
+            while rest >= size(mine):
+                rest -= size(mine)
+                mine += 1
+        todo += [(right, n - mine), (left, mine)]
+    return out
+
+
+def econ(spark: SparkSession, path: str, n: int = 0, omit: int = 0, threshold: int = 0, seed: int = 0) -> Graph:
+    """n sectors of the economy joined where a flow passes threshold / 65536 of all that the receiver takes in.
+
+    Sectors of the tree are put together until n remain, with Adjustments (left out for omit 2) and Users (left out for omit 1
+    and 2): those of a random subtree, or, for seed 0, by splitting the largest total again and again. vertices have total and
+    the codes put together. The file has 81 sectors at most, so the driver does this.
+    """
+    omit = omit if 0 <= omit <= 2 else 2
+    if not 0 < n <= USERS - omit:
+        n = USERS - omit
+    elif n + omit < 3:
+        omit = 3 - n
+    threshold = threshold if 0 <= threshold <= 65536 else 65536
+    sectors, table = datafile.econ_tables(spark, path)
+    nodes = sectors.orderBy("node").collect()
+    flow: dict[tuple[int, int], int] = {}
+    for r in table.collect():
+        flow[r.src, r.dst] = flow.get((r.src, r.dst), 0) + r.flow
+    kids: dict[int, tuple[int, ...]] = {}
+    for r in nodes:
+        if r.parent is not None:
+            kids[r.parent] = (*kids.get(r.parent, ()), r.node)
+    into = {k: sum(x for (_, d), x in flow.items() if d == k) for k in range(1, USERS)}
+    codes = {r.node: [r.sic] for r in nodes if r.sic is not None}
+    for r in reversed(nodes):
+        if r.node in kids:
+            codes[r.node] = [c for k in kids[r.node] for c in codes[k]]
+    want = n + omit - 2
+    if want == ADJUSTMENTS - 1:
+        kept = {r.node for r in nodes if r.sic is not None}
+    elif seed:
+        kept = random_subtree(kids, 0, want, Stream(seed))
+    else:
+        kept = set(greedy_hierarchy([(r.node, r.parent, sum(into[c] for c in codes[r.node])) for r in nodes], want))
+    group = {codes[k][0]: codes[k] for k in kept} | {ADJUSTMENTS: [ADJUSTMENTS]}
+    image = {c: k for k, own in group.items() for c in own} | {USERS: USERS}
+    title = {codes[r.node][0]: r.title for r in nodes if r.node in kept} | {ADJUSTMENTS: "Adjustments", USERS: "Users"}
+    total = {k: sum(into[c] for c in own) for k, own in group.items()}
+    merged: dict[tuple[int, int], int] = {}
+    for (a, b), x in flow.items():
+        merged[image[a], image[b]] = merged.get((image[a], image[b]), 0) + x
+    if omit == 0:  # what the users take is what comes in but doesn't go out
+        for k in group:
+            merged[k, USERS] = total[k] - sum(x for (a, b), x in merged.items() if a == k and b != USERS)
+        total[USERS] = sum(x for (a, _), x in merged.items() if a == USERS)
+    order = sorted([k for k in group if k != ADJUSTMENTS or omit < 2] + [USERS] * (omit == 0))
+    at = {k: i for i, k in enumerate(order)}
+    v = spark.createDataFrame([(i, title[k], total[k], group.get(k, [])) for i, k in enumerate(order)], "vid long, name string, total long, codes array<int>")
+    arcs = [(at[a], at[b], 1, x) for a in reversed(order) for b in reversed(order) if (x := merged.get((a, b), 0)) and (not threshold or x * 65536 > total[b] * threshold)]
+    e = spark.createDataFrame([(k, *x) for k, x in enumerate(arcs)], "k long, u long, v long, len long, flow long")
+    return Graph(v, ordered_arcs(e, ["k"]).drop("k"), f"econ({n},{omit},{threshold},{seed})", "ZZZZIAIZZZZZZZ")
 
 
 def games(spark: SparkSession, path: str, n: int = 0, ap0: int = 0, upi0: int = 0, ap1: int = 0, upi1: int = 0, first: int = 0, last: int = 0, seed: int = 0) -> Graph:

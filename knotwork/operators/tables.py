@@ -75,17 +75,19 @@ def greedy_hierarchy(totals: list[tuple[int, int | None, int]], n: int) -> list[
     kids: dict = {}
     for node, parent, total in totals:
         kids.setdefault(parent, []).append((-total, node))
-    heap = list(kids.get(None, []))
+    # of equal totals the one that came last is split first
+    heap = [(total, -i, node) for i, (total, node) in enumerate(kids.get(None, []))]
     heapq.heapify(heap)
-    done = []
+    done, came = [], len(heap)
     while heap and len(heap) + len(done) < n:
         x = heapq.heappop(heap)
-        if x[1] in kids:
-            for k in kids[x[1]]:
-                heapq.heappush(heap, k)
+        if x[2] in kids:
+            for total, node in kids[x[2]]:
+                heapq.heappush(heap, (total, -came, node))
+                came += 1
         else:
             done.append(x)
-    return sorted(node for _, node in [*heap, *done])
+    return sorted(node for *_, node in [*heap, *done])
 
 
 def match_pairs(games: DataFrame) -> DataFrame:

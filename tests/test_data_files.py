@@ -19,7 +19,7 @@ def test_book_sample(spark):
     assert g.id == 'book("homer",500,400,2,12,10000,-123456,789)'
     assert (g.n(), g.m()) == (100, 4)
     v = g.vertices.filter("vid = 81").first()
-    assert (v["name"], v.n_in, v.n_out, v.descr) == ("Eetion", 2, 1, "king of Cilicia, father of AH")
+    assert (v["name"], v.n_out, v.n_in, v.descr) == ("Eetion", 2, 1, "king of Cilicia, father of AH")
     a = g.arcs.filter("src = 81").first()
     assert a.chapter == 6 and g.vertices.filter(F.col("vid") == a.dst).first()["name"] == "Andromache"
 
@@ -62,6 +62,37 @@ def test_econ_file(spark):
     assert flows.agg(F.max("src"), F.max("dst")).first() == (81, 80)
 
 
+@there
+def test_econ_samples(spark):
+    path = FILES / "econ.dat"
+    g = library.econ(spark, path, 40, 0, 400, -111)
+    assert (g.id, g.n(), g.m(), g.util_types) == ("econ(40,0,400,-111)", 40, 512, "ZZZZIAIZZZZZZZ")
+    v = {r.vid: r for r in g.vertices.collect()}
+    assert (v[11]["name"], v[11].total, v[39]["name"], v[39].total) == ("Printing and publishing", 69451, "Users", 3999362)
+    a = g.arcs.filter("src = 11").orderBy(F.desc("slot")).first()
+    assert (v[a.dst]["name"], a.flow) == ("Food, liquor, and candy", 1863)
+    g = library.econ(spark, path, 81, 0, 0, 1)
+    assert (g.id, g.n(), g.vertices.filter("vid = 80").first()["name"]) == ("econ(81,0,0,1)", 81, "Users")
+    one = g.vertices.filter("vid = 0").first()
+    assert one["name"] == "Livestock and livestock products" and one.codes == [1]
+    g = library.econ(spark, path, 40, 2, 1000, 5)
+    assert (g.id, g.n(), g.vertices.filter("name in ('Users', 'Adjustments')").count()) == ("econ(40,2,1000,5)", 40, 0)
+    assert [library.econ(spark, path, *x).id for x in ((0, 0, 0, 0), (2, 5, 0, 0))] == ["econ(81,0,0,0)", "econ(2,2,0,0)"]
+    assert library.econ(spark, path, 30, 1, 0, 0).n() == 30
+
+
+def test_random_subtrees_are_uniform():
+    """Every subtree of a small tree with three leaves comes about equally often."""
+    import collections
+
+    from knotwork.core.rng import Stream
+
+    kids, s = {0: (1, 6), 1: (2, 5), 2: (3, 4), 6: (7, 10), 7: (8, 9)}, Stream(7)
+    got = collections.Counter(frozenset(library.random_subtree(kids, 0, 4, s)) for _ in range(3000))
+    want = [{2, 5, 7, 10}, {3, 4, 5, 6}, {1, 8, 9, 10}]
+    assert set(got) == set(map(frozenset, want)) and min(got.values()) > 900
+
+
 def test_bad_books(spark, tmp_path):
     for args, code in (({"in_weight": 2_000_000}, 30), ({}, 10)):
         with pytest.raises(PanicError) as e:
