@@ -11,6 +11,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .store import stored
+
 ID_LENGTH = 160
 
 
@@ -80,19 +82,29 @@ class Graph:
 
 def edges_to_arcs(edges: DataFrame, order: list) -> DataFrame:
     """Two arcs for each undirected edge(u, v, len, ...), numbered in the given order; the lower end owns the first slot."""
-    k = edges.withColumn("__k", _ordinal(edges, order))
+    k = numbered(edges, order, "__k")
     both = F.explode(F.array(F.struct((2 * F.col("__k")).alias("slot"), F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst")), F.struct((2 * F.col("__k") + 1).alias("slot"), F.greatest("u", "v").alias("src"), F.least("u", "v").alias("dst"))))
     return k.withColumn("__a", both).select("__a.slot", "__a.src", "__a.dst", *[c for c in edges.columns if c not in ("u", "v")])
 
 
 def ordered_arcs(arcs: DataFrame, order: list) -> DataFrame:
     """Directed arcs (u, v, len, ...) numbered in the given order."""
-    return arcs.withColumn("slot", _ordinal(arcs, order)).select("slot", F.col("u").alias("src"), F.col("v").alias("dst"), *[c for c in arcs.columns if c not in ("u", "v")])
-
-
-def _ordinal(df: DataFrame, order: list):
-    """0, 1, 2, ... in the given order. A total order is asked for only where golden order matters; it sorts in one task."""
-    return F.row_number().over(Window.orderBy(*order)).cast("long") - 1
+    return numbered(arcs, order, "slot").select("slot", F.col("u").alias("src"), F.col("v").alias("dst"), *[c for c in arcs.columns if c not in ("u", "v")])
+
+
+def numbered(df: DataFrame, order: list, column: str) -> DataFrame:
+    """df with 0, 1, 2, ... in the given order, which must be total for the numbers to be the same each time.
+
+    Sorted by ranges and written once; the counts of the ranges (one number a partition) give each its first number, so no task sorts or counts all rows.
+    """
+    t = stored(df.orderBy(*order).withColumn("__i", F.monotonically_increasing_id()), "numbered")
+    per = sorted(tuple(r) for r in t.groupBy(F.shiftright("__i", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    first, total = [], 0
+    for part, n in per:
+        first.append((part, total))
+        total += n
+    base = df.sparkSession.createDataFrame(first, "__p long, __first long")
+    return t.withColumn("__p", F.shiftright("__i", 33)).join(F.broadcast(base), "__p").withColumn(column, F.col("__first") + F.col("__i").bitwiseAND(F.lit((1 << 33) - 1))).drop("__p", "__first", "__i")
 
 
 def graph_from_edges(spark: SparkSession, names: list[str], edges: list[tuple[int, int, int]], id: str = "", directed: bool = False) -> Graph:

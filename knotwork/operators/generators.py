@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..core.graph import BAD_SPECS, VERY_BAD_SPECS, Graph, PanicError, edges_to_arcs, ordered_arcs
+from ..core.graph import BAD_SPECS, VERY_BAD_SPECS, Graph, PanicError, edges_to_arcs, numbered, ordered_arcs
 from ..core.rng import MOD, Stream
 
 MAX_CELLS = 1_000_000_000
@@ -164,40 +164,64 @@ def compositions(n: int, bounds: list[int]) -> int:
     return coef[n]
 
 
+def _named_arcs(v: DataFrame, e: DataFrame, directed: bool) -> DataFrame:
+    """Arcs of edges given by the names of both ends (low, high), numbered in the order of the vertices; the names stay as columns."""
+    at = lambda end, col: v.select(F.col("name").alias(end), F.col("vid").alias(col))
+    e = e.join(at("low", "u"), "low").join(at("high", "v"), "high").select("u", "v", F.lit(1).cast("long").alias("len"), "low", "high")
+    return (ordered_arcs if directed else edges_to_arcs)(e, ["u", "v"])
+
+
+def _spec(*numbers, room: int = 5) -> str:
+    """Parameters of an id, the first ones filled up with zeros."""
+    return ",".join(map(str, [*numbers, *[0] * (room - len(numbers))]))
+
+
+def _vectors(spark: SparkSession, n: int, bounds: list[int]) -> DataFrame:
+    """(vid, x, name) of the vectors of sum n within bounds. vid is the place in lexicographic order, summed up coordinate by coordinate from the numbers of vectors that begin lower."""
+    if compositions(n, bounds) > MAX_CELLS:
+        raise PanicError(BAD_SPECS + 1)
+    v = spark.range(1).select(F.array().cast("array<long>").alias("x"), F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("vid"))
+    for k, b in enumerate(bounds):
+        after = bounds[k + 1 :]
+        ways = [compositions(n - t, after) for t in range(n + 1)]
+        below = F.array(*(F.lit(x).cast("long") for x in itertools.accumulate(ways, initial=0)))  # ways to end from a lower total
+        v = v.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(b).cast("long"), n - F.col("t")))))
+        v = v.filter(n - F.col("t") - F.col("c") <= sum(after)).select(F.concat("x", F.array("c")).alias("x"), (F.col("t") + F.col("c")).alias("t"), (F.col("vid") + F.get(below, (F.col("t") + F.col("c")).cast("int")) - F.get(below, F.col("t").cast("int"))).alias("vid"))
+    return v.select("vid", "x", F.array_join(F.transform("x", lambda c: c.cast("string")), ".").alias("name"))
+
+
 def simplex(spark: SparkSession, n: int, *sizes: int, directed: bool = False) -> Graph:
     """Vectors of sum n within bounds, in lexicographic order, joined where one unit moves between two coordinates.
 
     Vectors grow by one coordinate at a time on the executors; partial sums that can't reach n are dropped as they appear.
     """
     bounds = bounds_of(n, *sizes)
-    if compositions(n, bounds) > MAX_CELLS:
-        raise PanicError(BAD_SPECS + 1)
-    v = spark.range(1).select(F.array().cast("array<long>").alias("x"), F.lit(0).cast("long").alias("t"))
-    for k, b in enumerate(bounds):
-        rest = sum(bounds[k + 1 :])
-        v = v.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(b).cast("long"), n - F.col("t"))))).select(F.concat("x", F.array("c")).alias("x"), (F.col("t") + F.col("c")).alias("t")).filter(n - F.col("t") <= rest)
-    name = F.array_join(F.transform("x", lambda c: c.cast("string")), ".")
-    v = v.select("x", name.alias("name"))
+    v = _vectors(spark, n, bounds)
     moved = F.explode(F.array(*(F.array(*((F.col("x")[i] + (1 if i == a else -1 if i == b else 0)).cast("long") for i in range(len(bounds)))) for a in range(len(bounds)) for b in range(len(bounds)) if a > b)))
     to = v.select("name", moved.alias("y")).filter(F.forall("y", lambda c: c >= 0)).withColumn("to", F.array_join(F.transform("y", lambda c: c.cast("string")), "."))
-    e = to.join(v.select(F.col("name").alias("to")), "to").select(F.col("to").alias("low"), F.col("name").alias("high"))
-    return Graph(v, e, f"simplex({n},{','.join(map(str, sizes))},{int(directed)})", "VVZIIIZZZZZZZZ")
+    e = to.select(F.col("to").alias("low"), F.col("name").alias("high"))
+    return Graph(v, _named_arcs(v, e, directed), f"simplex({n},{_spec(*sizes)},{int(directed)})", "VVZIIIZZZZZZZZ")
 
 
-def subsets(spark: SparkSession, n: int, *sizes: int, size_bits: int = 1) -> Graph:
-    """The vectors of simplex, joined (u <= v) where bit s of size_bits is set for s the sum of componentwise minima."""
-    v = simplex(spark, n, *sizes).vertices
+def subsets(spark: SparkSession, n: int, *sizes: int, size_bits: int = 1, directed: bool = False) -> Graph:
+    """The vectors of simplex, joined (u <= v) where bit s of size_bits is set for s the sum of componentwise minima. All pairs are compared, by definition."""
+    v = _vectors(spark, n, bounds_of(n, *sizes))
     w = v.select(F.col("x").alias("y"), F.col("name").alias("other"))
     meet = F.aggregate(F.zip_with("x", "y", lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda s, c: s + c)
     e = v.join(w, F.col("name") <= F.col("other")).withColumn("s", meet).filter(F.expr(f"shiftright(cast({size_bits} as bigint), cast(s as int)) & 1 = 1"))
-    return Graph(v, e.select(F.col("name").alias("low"), F.col("other").alias("high")), f"subsets({n},{','.join(map(str, sizes))},{size_bits:#x})", "ZZZIIIZZZZZZZZ")
+    return Graph(v, _named_arcs(v, e.select(F.col("name").alias("low"), F.col("other").alias("high")), directed), f"subsets({n},{_spec(*sizes)},{size_bits:#x},{int(directed)})", "ZZZIIIZZZZZZZZ")
+
+
+def disjoint_subsets(spark: SparkSession, n: int, k: int) -> Graph:
+    """The k-element subsets of n things, joined where they are disjoint."""
+    return subsets(spark, k, 1, 1 - n, size_bits=1)
 
 
 def petersen(spark):
-    return subsets(spark, 2, 1, -4, size_bits=1)
+    return disjoint_subsets(spark, 5, 2)
 
 
-def perms(spark: SparkSession, counts: list[int], max_inv: int | None = None) -> Graph:
+def perms(spark: SparkSession, counts: list[int], max_inv: int | None = None, directed: bool = False) -> Graph:
     """Arrangements of a multiset (counts[i] copies of letter i) with at most max_inv inversions, joined by swaps of neighbours.
 
     Words grow letter by letter on the executors; a letter adds one inversion for each larger one before it.
@@ -212,17 +236,24 @@ def perms(spark: SparkSession, counts: list[int], max_inv: int | None = None) ->
         letters = F.filter(F.sequence(F.lit(0), F.lit(len(counts) - 1)), lambda c: used(c) < F.element_at(left, c + 1))
         v = v.withColumn("c", F.explode(letters)).select(F.concat("x", F.array("c")).alias("x"), (F.col("inv") + F.size(F.filter("x", lambda y: y > F.col("c")))).alias("inv")).filter(F.col("inv") <= max_inv)
     name = lambda x: F.array_join(F.transform(x, lambda c: F.char((c + 48).cast("long"))), "")
-    v = v.select("x", "inv", name("x").alias("name"))
+    v = numbered(v.select("x", "inv", name("x").alias("name")), ["x"], "vid")
     at = F.explode(F.sequence(F.lit(1), F.lit(total - 1))) if total > 1 else F.explode(F.array().cast("array<int>"))
     swap = v.withColumn("k", at).filter(F.element_at("x", F.col("k")) < F.element_at("x", F.col("k") + 1))
     swapped = F.transform("x", lambda c, i: F.when(i + 1 == F.col("k"), F.element_at("x", F.col("k") + 1)).when(i == F.col("k"), F.element_at("x", F.col("k"))).otherwise(c))
-    e = swap.select(F.col("name").alias("low"), name(swapped).alias("high")).join(v.select(F.col("name").alias("high")), "high").select("low", "high")
-    return Graph(v, e, f"perms({','.join(map(str, counts))},{max_inv})", "VVZZZZZZZZZZZZ")
+    e = swap.select(F.col("name").alias("low"), name(swapped).alias("high"))
+    return Graph(v, _named_arcs(v, e, directed), f"perms({_spec(*counts)},{max_inv},{int(directed)})", "VVZZZZZZZZZZZZ")
+
 
+def all_perms(spark: SparkSession, n: int, directed: bool = False) -> Graph:
+    """The permutations of n letters."""
+    return perms(spark, [1] * n, directed=directed)
 
-def parts(spark: SparkSession, n: int, max_parts: int | None = None, max_size: int | None = None) -> Graph:
-    """Partitions of n (parts falling), joined where splitting one part in two makes the other."""
-    max_parts, max_size = max_parts or n, max_size or n
+
+def parts(spark: SparkSession, n: int, max_parts: int | None = None, max_size: int | None = None, directed: bool = False) -> Graph:
+    """Partitions of n (parts falling) in increasing order, joined where splitting one part in two makes the other."""
+    max_parts, max_size = (x if x and 0 < x <= n else n for x in (max_parts, max_size))
+    if max_parts > MAX_D:
+        raise PanicError(BAD_SPECS)
     v = spark.range(1).select(F.array().cast("array<int>").alias("x"), F.lit(n).alias("r"))
     done = []
     for _ in range(min(max_parts, n)):
@@ -233,54 +264,54 @@ def parts(spark: SparkSession, n: int, max_parts: int | None = None, max_size: i
     for x in done[1:]:
         all_ = all_.unionByName(x)
     name = lambda x: F.array_join(F.transform(x, lambda c: c.cast("string")), "+")
-    v = all_.select("x", name("x").alias("name"))
+    v = numbered(all_.select("x", name("x").alias("name")), ["x"], "vid")
     part = v.withColumn("p", F.explode(F.array_distinct("x"))).filter("p > 1").withColumn("a", F.explode(F.sequence(F.lit(1), F.floor(F.col("p") / 2).cast("int"))))
     at = F.array_position("x", F.col("p")).cast("int")
     rest = F.filter("x", lambda c, i: i + 1 != at)
     split = F.reverse(F.array_sort(F.concat(rest, F.array(F.col("a"), F.col("p") - F.col("a")))))
-    e = part.select(F.col("name").alias("low"), name(split).alias("high")).distinct().join(v.select(F.col("name").alias("high")), "high").select("low", "high")
-    return Graph(v, e, f"parts({n},{max_parts},{max_size})", "VVZZZZZZZZZZZZ")
+    e = part.select(F.col("name").alias("low"), name(split).alias("high")).distinct()
+    return Graph(v, _named_arcs(v, e, directed), f"parts({n},{max_parts},{max_size},{int(directed)})", "VVZZZZZZZZZZZZ")
+
 
+def all_parts(spark: SparkSession, n: int, directed: bool = False) -> Graph:
+    """All partitions of n."""
+    return parts(spark, n, directed=directed)
 
-def binary(spark: SparkSession, n: int, max_height: int | None = None) -> Graph:
-    """Binary trees with n inner nodes as codes of . (inner) and x (leaf), joined by rotations.
 
-    Codes grow symbol by symbol on the executors; open counts the subtrees still to come. Heights are checked on whole codes.
+def binary(spark: SparkSession, n: int, max_height: int | None = None, directed: bool = False) -> Graph:
+    """Binary trees with n inner nodes and at most max_height levels of them, as codes of . (inner) and x (leaf), joined by rotations ((a b) c) to (a (b c)).
+
+    Codes grow symbol by symbol on the executors. todo holds, for each subtree still to come, the levels that it may have;
+    a code goes as soon as they can't hold the inner nodes that are left.
     """
-    v = spark.range(1).select(F.lit("").alias("name"), F.lit(1).alias("open"), F.lit(0).alias("dots"))
-    for _ in range(2 * n + 1):
-        v = v.filter("open > 0").withColumn("c", F.explode(F.array(F.lit("."), F.lit("x")))).select(F.concat("name", "c").alias("name"), (F.col("open") + F.when(F.col("c") == ".", 1).otherwise(-1)).alias("open"), (F.col("dots") + (F.col("c") == ".").cast("int")).alias("dots")).filter(f"dots <= {n}")
-    v = v.filter(f"open = 0 and dots = {n}").select("name")
-
-    @F.udf("struct<height:int,to:array<string>>")
-    def look(code):
-        def parse(i):
-            if code[i] == "x":
-                return 0, i + 1
-            a, i = parse(i + 1)
-            b, i = parse(i)
-            return 1 + max(a, b), i
-
-        def end(i):
-            need = 1
-            while need:
-                need += 1 if code[i] == "." else -1
-                i += 1
-            return i
-
-        to = []
-        for i in range(len(code) - 1):
-            if code[i] == "." and code[i + 1] == ".":  # ((a b) c) becomes (a (b c))
-                a, b = end(i + 2), end(end(i + 2))
-                to.append(code[: i + 1] + code[i + 2 : a] + "." + code[a:b] + code[b:])
-        return parse(0)[0], to
-
-    full = v.withColumn("l", look("name"))
-    if max_height:
-        full = full.filter(F.col("l.height") <= max_height)
-    v = full.select("name")
-    e = full.select(F.col("name").alias("low"), F.explode("l.to").alias("high")).join(v.select(F.col("name").alias("high")), "high").select("low", "high")
-    return Graph(v, e, f"binary({n},{max_height or n},0)", "VVZZZZZZZZZZZZ")
+    max_height = max_height if max_height and 0 < max_height <= n else n
+    if max_height > 30:
+        raise PanicError(VERY_BAD_SPECS)
+    v = spark.range(1).select(F.lit("").alias("name"), F.array(F.lit(max_height)).alias("todo"), F.lit(n).alias("left"))
+    room = F.expr("aggregate(todo, 0L, (s, h) -> s + shiftleft(1L, h) - 1L)")
+    fits = (room >= F.col("left")) & ((F.size("todo") > 0) | (F.col("left") == 0))
+    v = v.filter(fits)
+    if 2**max_height - 1 < n:  # known before any code is begun
+        v = v.filter("false")
+    else:
+        for _ in range(2 * n + 1):
+            own, rest = F.element_at("todo", 1), F.slice("todo", 2, F.size("todo"))
+            v = v.withColumn("c", F.explode(F.array(F.lit("."), F.lit("x")))).filter((F.col("c") == "x") | ((own > 0) & (F.col("left") > 0)))
+            v = v.select(F.concat("name", "c").alias("name"), F.when(F.col("c") == ".", F.concat(F.array(own - 1, own - 1), rest)).otherwise(rest).alias("todo"), (F.col("left") - (F.col("c") == ".").cast("int")).alias("left")).filter(fits)
+    v = numbered(v.select("name"), ["name"], "vid")
+    # deep[i] is the number of inner nodes less that of leaves before place i: a subtree from place i ends where that falls by one
+    size = 2 * n + 1
+    deep = F.aggregate(F.sequence(F.lit(1), F.lit(size)), F.array(F.lit(0)), lambda acc, i: F.concat(acc, F.array(F.element_at(acc, -1) + F.when(F.substring("name", i, F.lit(1)) == ".", 1).otherwise(-1))))
+    inner = F.filter(F.sequence(F.lit(0), F.lit(size - 2)), lambda i: F.substring("name", i + 1, F.lit(2)) == "..") if n > 1 else F.array().cast("array<int>")
+    end = lambda i: f"{i} + cast(array_position(slice(deep, {i} + 2, {size}), element_at(deep, {i} + 1) - 1) as int)"
+    turned = v.withColumn("deep", deep).withColumn("i", F.explode(inner)).withColumn("j", F.expr("i + 2")).withColumn("a", F.expr(end("j")))
+    e = turned.select(F.col("name").alias("low"), F.expr("concat(substring(name, 1, i + 1), substring(name, i + 3, a - i - 2), '.', substring(name, a + 1))").alias("high"))
+    return Graph(v, _named_arcs(v, e, directed), f"binary({n},{max_height},{int(directed)})", "VVZZZZZZZZZZZZ")
+
+
+def all_trees(spark: SparkSession, n: int, directed: bool = False) -> Graph:
+    """All binary trees with n inner nodes."""
+    return binary(spark, n, directed=directed)
 
 
 def alias_table(dist: list[int]) -> list[tuple[int, int]]:
