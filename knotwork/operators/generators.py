@@ -427,37 +427,119 @@ def random_lengths(g: Graph, min_len: int, max_len: int, seed: int) -> Graph:
     return replace(g, arcs=g.arcs.drop("len").join(new, "slot").withColumnRenamed("l", "len"), id=f"random_lengths({g.id},0,{min_len},{max_len},0,{seed})")
 
 
+def _residue(x: int, q: int) -> bool:
+    return pow(x, (q - 1) // 2, q) == 1
+
+
+def raman_kind(p: int, q: int, kind: int) -> tuple[int, int]:
+    """(kind, number of vertices) of a projective graph of degree p + 1: 1 the points of the line over Z_q, 2 pairs of them, 3 and 4 projective matrices, those with square determinants where p is a square modulo q (3), else all (4); 0 stands for 3 or 4."""
+    prime = lambda x: x > 1 and all(x % k for k in range(2, int(x**0.5) + 1))
+    if not 3 <= q <= 46337:
+        raise PanicError(VERY_BAD_SPECS)
+    if p < 2:
+        raise PanicError(VERY_BAD_SPECS + 1)
+    if not prime(q):
+        raise PanicError(BAD_SPECS + 1)
+    if p == 2 and not (_residue(13, q) and _residue(-2, q)):
+        raise PanicError(BAD_SPECS + 2)
+    if p % q == 0:
+        raise PanicError(BAD_SPECS + 3)
+    fits = 3 if _residue(p, q) else 4
+    kind = kind or fits
+    if kind > 2 and kind != fits:
+        raise PanicError(BAD_SPECS + 4)
+    if kind > 2 and q > 1289:
+        raise PanicError(BAD_SPECS + 5)
+    n = {1: q + 1, 2: q * (q + 1) // 2, 3: (q**3 - q) // 2, 4: q**3 - q}[kind]
+    if p >= 0x3FFFFFFF // n:
+        raise PanicError(BAD_SPECS + 6)
+    if not prime(p):
+        raise PanicError(BAD_SPECS + 7)
+    return kind, n
+
+
 def raman(spark: SparkSession, p: int, q: int, kind: int = 1) -> DataFrame:
-    """Arcs (src, dst, gen) of the (p + 1)-regular graph of kind 1 (projective line over Z_q) or 2 (pairs of its points).
+    """Arcs (src, dst, gen) of the (p + 1)-regular graph of a kind, see raman_kind, one for each vertex and generator.
 
     Generators are the integer quaternions of norm p as matrices modulo q; the table has p + 1 rows whatever q is, and the
-    executors apply all of them to all points by column arithmetic. Point q stands for infinity.
+    executors apply all of them to all vertices by column arithmetic; inverses modulo q come from a table of q rows. On the line, q
+    stands for infinity. Matrices (1, b; c, bc + k) come first, by b, c and k, then (0, 1; c, d) by the determinant -c and d.
     """
+    kind, n = raman_kind(p, q, kind)
     gens = quaternion_matrices(p, q)
-    inverse = F.array(*(F.lit(pow(x, -1, q) if x else 0) for x in range(q)))
-    g = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), *(F.lit(x).alias(c) for c, x in zip("abcd", m, strict=True))) for k, m in enumerate(gens))))
+    g = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), *(F.lit(x).cast("long").alias(c) for c, x in zip("abcd", m, strict=True))) for k, m in enumerate(gens))))
+    inverse = F.broadcast(spark.createDataFrame([(x, pow(x, -1, q) if x else 0) for x in range(q)], "of long, inv long"))  # 46337 rows at most
+
+    def over(df: DataFrame, den: str, inv: str) -> DataFrame:
+        return df.join(inverse.select(F.col("of").alias(den), F.col("inv").alias(inv)), den)
+
+    def act(df: DataFrame, x: str, to: str) -> DataFrame:
+        df = df.withColumn("num", F.when(F.col(x) == q, F.col("g.a")).otherwise((F.col("g.a") * F.col(x) + F.col("g.b")) % q))
+        df = df.withColumn("den", F.when(F.col(x) == q, F.col("g.c")).otherwise((F.col("g.c") * F.col(x) + F.col("g.d")) % q))
+        return over(df, "den", "inv").withColumn(to, F.when(F.col("den") == 0, F.lit(q).cast("long")).otherwise((F.col("num") * F.col("inv")) % q)).drop("num", "den", "inv")
+
+    if kind < 3:
+        line = spark.range(q + 1)
+        if kind == 1:
+            return act(line.withColumn("g", g), "id", "dst").select(F.col("id").alias("src"), "dst", F.col("g.k").cast("long").alias("gen"))
+        pairs = line.select(F.col("id").alias("a")).join(spark.range(q + 1).select(F.col("id").alias("b")), F.col("a") < F.col("b"))
+        out = act(act(pairs.withColumn("g", g), "a", "x"), "b", "y")
+        name = lambda u, v: F.least(u, v) * (q + 1) + F.greatest(u, v)
+        return out.select(name(F.col("a"), F.col("b")).alias("src"), name(F.col("x"), F.col("y")).alias("dst"), F.col("g.k").cast("long").alias("gen"))
+    dets = [k for k in range(1, q) if kind == 4 or _residue(k, q)]
+    m, place = len(dets), {k: i for i, k in enumerate(dets)}
+    det, rank = (F.array(*(F.lit(x).cast("long") for x in xs)) for xs in (dets, [place.get(k, 0) for k in range(q)]))
+    at = lambda xs, i: F.get(xs, i.cast("int"))
+    number = lambda a, b, c, d, k: F.when(a == 1, (b * q + c) * m + at(rank, k)).otherwise(q * q * m + at(rank, (q - c) % q) * q + d)
+    i = F.col("id")
+    first = i < q * q * m
+    low = i - q * q * m
+    b, c = F.floor(i / (q * m)) % q, F.floor(i / m) % q
+    v = spark.range(n).select("id", first.cast("long").alias("a"), F.when(first, b).otherwise(1).cast("long").alias("b"), F.when(first, c).otherwise((q - at(det, F.floor(low / q))) % q).cast("long").alias("c"))
+    v = v.withColumn("d", F.when(first, (F.col("b") * F.col("c") + at(det, i % m)) % q).otherwise(low % q).cast("long")).withColumn("g", g)
+    row = lambda x, y: ((F.col(x) * F.col("g.a") + F.col(y) * F.col("g.c")) % q, (F.col(x) * F.col("g.b") + F.col(y) * F.col("g.d")) % q)
+    (wa, wb), (wc, wd) = row("a", "b"), row("c", "d")
+    w = over(v.select("id", F.col("g.k").alias("k"), wa.alias("wa"), wb.alias("wb"), wc.alias("wc"), wd.alias("wd")).withColumn("lead", F.when(F.col("wa") > 0, F.col("wa")).otherwise(F.col("wb"))), "lead", "inv")
+    w = w.select("id", "k", *((F.col(f"w{x}") * F.col("inv") % q).alias(x) for x in "abcd"))
+    a, b, c, d = (F.col(x) for x in "abcd")
+    return w.select(F.col("id").alias("src"), number(a, b, c, d, F.pmod(d - b * c, F.lit(q))).cast("long").alias("dst"), F.col("k").cast("long").alias("gen"))
+
+
+def raman_graph(spark: SparkSession, p: int, q: int, kind: int = 0, reduce: int = 0) -> Graph:
+    """raman as a graph. With reduce loops and repeated edges go; else an edge stands for a generator at one end and its inverse at the other."""
+    kind, n = raman_kind(p, q, kind)
+    arcs = raman(spark, p, q, kind)
+    v = spark.range(n).withColumnRenamed("id", "vid")
+    if kind == 2:
+        v = spark.range((q + 1) ** 2).select(F.col("id").alias("vid")).filter(F.floor(F.col("vid") / (q + 1)) < F.col("vid") % (q + 1))
+    if reduce:
+        e = arcs.filter("src <> dst").groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.min("gen").alias("gen"))
+    else:
+        back = F.array(*(F.lit(k) for k in inverse_generators(quaternion_matrices(p, q), q)))
+        e = arcs.filter((F.col("src") < F.col("dst")) | ((F.col("src") == F.col("dst")) & (F.col("gen") <= F.get(back, F.col("gen").cast("int"))))).select(F.col("src").alias("u"), F.col("dst").alias("v"), "gen")
+    g = edges_to_arcs(e.withColumn("len", F.lit(1).cast("long")), ["u", "gen", "v"])
+    return Graph(v.withColumn("name", F.col("vid").cast("string")), g, f"raman({p},{q},{kind},{reduce})", "ZZZIIIIZZZZZZZ" if kind > 2 else "ZZZIIZIZZZZZZZ" if kind == 2 else "ZZZIZZIZZZZZZZ")
+
+
+def inverse_generators(gens: list[tuple[int, int, int, int]], q: int) -> list[int]:
+    """For each matrix the number of the one that undoes it projectively."""
 
-    def act(x):
-        num = F.when(x == q, F.col("g.a")).otherwise((F.col("g.a") * x + F.col("g.b")) % q)
-        den = F.when(x == q, F.col("g.c")).otherwise((F.col("g.c") * x + F.col("g.d")) % q)
-        return F.when(den == 0, F.lit(q)).otherwise((num * F.element_at(inverse, (den + 1).cast("int"))) % q).cast("long")
+    def form(m):
+        lead = pow(next(x for x in m if x), -1, q)
+        return tuple(x * lead % q for x in m)
 
-    line = spark.range(q + 1)
-    if kind == 1:
-        return line.withColumn("g", g).select(F.col("id").alias("src"), act(F.col("id")).alias("dst"), F.col("g.k").cast("long").alias("gen"))
-    pairs = line.select(F.col("id").alias("a")).join(spark.range(q + 1).select(F.col("id").alias("b")), F.col("a") < F.col("b"))
-    out = pairs.withColumn("g", g).select("a", "b", act(F.col("a")).alias("x"), act(F.col("b")).alias("y"), F.col("g.k").cast("long").alias("gen"))
-    name = lambda u, v: F.least(u, v) * (q + 1) + F.greatest(u, v)
-    return out.select(name(F.col("a"), F.col("b")).alias("src"), name(F.col("x"), F.col("y")).alias("dst"), "gen")
+    of: dict = {}
+    for k, (a, b, c, d) in enumerate(gens):
+        of.setdefault(form((a, b, c, d)), []).append(k)
+    return [of[form((d, -b % q, -c % q, a))][0] for a, b, c, d in gens]
 
 
 def quaternion_matrices(p: int, q: int) -> list[tuple[int, int, int, int]]:
-    """The p + 1 generator matrices (a, b, c, d) modulo q of a prime p: the solutions of a0^2 + a1^2 + a2^2 + a3^2 = p that stand for classes up to units."""
-    prime = lambda x: x > 1 and all(x % k for k in range(2, int(x**0.5) + 1))
-    if q < 3 or not prime(q):
-        raise PanicError(VERY_BAD_SPECS)
-    if not prime(p) or p == 2 or p == q:
-        raise PanicError(VERY_BAD_SPECS + 1)
+    """The p + 1 generator matrices (a, b, c, d) modulo q of a prime p: the solutions of a0^2 + a1^2 + a2^2 + a3^2 = p that stand for classes up to units; for p = 2 three matrices made of the roots of -2 and -26."""
+    if p == 2:
+        s = next(x for x in range(q) if (x * x + 2) % q == 0)
+        t = next(x for x in range(q) if (x * x + 26) % q == 0)
+        return [(1, 0, 0, q - 1), ((2 + s) % q, t, t, (2 - s) % q), ((2 - s) % q, -t % q, -t % q, (2 + s) % q)]
     g, h = next((g, h) for g in range(q) for h in range(q) if (g * g + h * h + 1) % q == 0)
     r = int(p**0.5) + 1
     odd = p % 4 == 1
@@ -469,5 +551,5 @@ def quaternion_matrices(p: int, q: int) -> list[tuple[int, int, int, int]]:
             sols.append((a0, a1, a2, a3))
     if len(sols) != p + 1:
         # elements of norm p with a zero real part are their own inverses up to sign
-        raise PanicError(VERY_BAD_SPECS + 2)
+        raise PanicError(BAD_SPECS + 7)
     return [((a0 + a1 * g + a3 * h) % q, (a2 + a3 * g - a1 * h) % q, (-a2 + a3 * g - a1 * h) % q, (a0 - a1 * g - a3 * h) % q) for a0, a1, a2, a3 in sols]

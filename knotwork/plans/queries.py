@@ -273,16 +273,47 @@ def binary_trees(spark, sf_dir):
     return G.binary(spark, 5).arcs.filter("slot % 2 = 0").select("low", "high")
 
 
-@query()
+def _raman_sql(p: int, q: int, rest: str) -> str:
+    """gen: the generators from the sums of four squares; inv: inverses modulo q, 0 of 0."""
+    r, odd = int(p**0.5) + 1, p % 4 == 1
+    mod = lambda x: f"((({x}) % {q}) + {q}) % {q}"
+    return f"""with r as (select unnest(range({-r}, {r + 1})) as x), o as (select a.x as g, b.x as h from range({q}) a(x), range({q}) b(x) where (a.x * a.x + b.x * b.x + 1) % {q} = 0 order by 1, 2 limit 1),
+s as (select a.x as a0, b.x as a1, c.x as a2, d.x as a3 from r a, r b, r c, r d where a.x * a.x + b.x * b.x + c.x * c.x + d.x * d.x = {p} and abs(a.x) % 2 = {int(odd)} and abs(b.x) % 2 = {int(not odd)} and abs(c.x) % 2 = {int(not odd)} and abs(d.x) % 2 = {int(not odd)}
+  and (a.x > 0 or a.x = 0 and (b.x > 0 or b.x = 0 and (c.x > 0 or c.x = 0 and d.x > 0)))),
+gen as (select row_number() over (order by a0, a1, a2, a3) - 1 as gen, {mod("a0 + a1 * g + a3 * h")} as ga, {mod("a2 + a3 * g - a1 * h")} as gb, {mod("-a2 + a3 * g - a1 * h")} as gc, {mod("a0 - a1 * g - a3 * h")} as gd from s, o),
+inv as (select a.x as of, b.x as inv from range(1, {q}) a(x), range(1, {q}) b(x) where a.x * b.x % {q} = 1 union all select 0, 0), {rest}"""
+
+
+def _line_sql(q: int) -> str:
+    return f"""f as (select x, gen, case x when {q} then ga else (ga * x + gb) % {q} end as num, case x when {q} then gc else (gc * x + gd) % {q} end as den from range({q + 1}) t(x), gen),
+line as (select x, gen, case den when 0 then {q} else num * inv % {q} end as y from f join inv on of = den)"""
+
+
+@query(_raman_sql(5, 31, _line_sql(31) + " select x as src, y as dst, gen from line"))
 def raman_line(spark, sf_dir):
     return G.raman(spark, 5, 31, 1)
 
 
-@query()
+@query(_raman_sql(5, 13, _line_sql(13) + " select a.x * 14 + b.x as src, least(a.y, b.y) * 14 + greatest(a.y, b.y) as dst, a.gen from line a join line b on a.gen = b.gen and a.x < b.x"))
 def raman_pairs(spark, sf_dir):
     return G.raman(spark, 5, 13, 2)
 
 
+@query(
+    _raman_sql(
+        3,
+        7,
+        """v as (select (b * 7 + c) * 6 + k - 1 as id, 1 as a, b, c, (b * c + k) % 7 as d from range(7) x(b), range(7) y(c), range(1, 7) z(k)
+  union all select 294 + (k - 1) * 7 + d, 0, 1, 7 - k, d from range(1, 7) z(k), range(7) x(d)),
+w as (select id, gen, (a * ga + b * gc) % 7 as a, (a * gb + b * gd) % 7 as b, (c * ga + d * gc) % 7 as c, (c * gb + d * gd) % 7 as d from v, gen),
+n as (select id, gen, a * inv % 7 as a, b * inv % 7 as b, c * inv % 7 as c, d * inv % 7 as d from w join inv on of = case when a > 0 then a else b end)
+select n.id as src, v.id as dst, gen from n join v using (a, b, c, d)""",
+    )
+)
+def raman_matrices(spark, sf_dir):
+    return G.raman(spark, 3, 7, 0)
+
+
 def words5(spark, sf_dir):
     w = table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).filter(F.length("word") == 5)
     return w.groupBy("word").agg(F.count(F.lit(1)).alias("n"))

@@ -65,7 +65,7 @@ def test_numbers_follow_the_order(spark):
     assert numbered(df.limit(0), ["a"], "k").count() == 0
 
 
-@pytest.mark.parametrize("name", ["binary_trees", "simplex", "subsets", "parts", "perms", "petersen"])
+@pytest.mark.parametrize("name", ["binary_trees", "simplex", "subsets", "parts", "perms", "petersen", "raman_line", "raman_pairs", "raman_matrices"])
 def test_queries_against_sql(spark, name):
     want = duckdb.sql(queries.ORACLE[name])
     cols = sorted(want.columns)
@@ -73,3 +73,45 @@ def test_queries_against_sql(spark, name):
     assert sorted(out.columns) == cols
     at = [want.columns.index(c) for c in cols]
     assert sorted(tuple(r) for r in out.select(*cols).collect()) == sorted(tuple(r[i] for i in at) for r in want.fetchall())
+
+
+def layers(arcs):
+    """Diameter and girth from vertex 0 of a graph that looks the same from everywhere; arcs (src, dst) both ways."""
+    to = {}
+    for a in arcs:
+        to.setdefault(a.src, []).append(a.dst)
+    far, girth, last, via = {0: 0}, None, [0], {0: None}
+    while last:
+        nxt = []
+        for u in last:
+            back = via[u]
+            for v in to[u]:
+                if v not in far:
+                    far[v], via[v] = far[u] + 1, u
+                    nxt.append(v)
+                elif v == back:
+                    back = None  # the edge that u was reached by, once
+                else:
+                    girth = min(girth or 10**9, far[u] + far[v] + 1)
+        last = nxt
+    return max(far.values()), girth, len(far)
+
+
+@pytest.mark.parametrize("p,q,n,far,girth", [(3, 7, 336, 6, 8), (2, 17, 2448, 15, 9), (5, 3, 24, 3, 4), (7, 11, 1320, 6, 6), (3, 5, 120, 6, 6)])
+def test_diameter_and_girth_of_matrices(spark, p, q, n, far, girth):
+    arcs = G.raman(spark, p, q, 0).collect()
+    assert len(arcs) == n * (p + 1)
+    assert layers(arcs) == (far, girth, n)
+
+
+def test_raman_graphs(spark):
+    g = G.raman_graph(spark, 31, 3, 0, 4)
+    assert (g.id, g.n(), g.m(), g.util_types) == ("raman(31,3,3,4)", 12, 96, "ZZZIIIIZZZZZZZ")
+    g = G.raman_graph(spark, 5, 3, 1, 0)
+    assert (g.n(), g.util_types) == (4, "ZZZIZZIZZZZZZZ")
+    g = G.raman_graph(spark, 3, 5, 4, 0)
+    assert g.m() == 120 * 4 and g.arcs.groupBy("src").count().filter("count <> 4").count() == 0
+    for args, code in (((31, 2, 0), 40), ((1, 3, 0), 41), ((6, 3, 0), 33), ((31, 3, 4), 34), ((3, 9, 1), 31), ((2, 7, 0), 32), ((9, 5, 1), 37)):
+        with pytest.raises(PanicError) as e:
+            G.raman_graph(spark, *args)
+        assert e.value.code == code, args

@@ -57,7 +57,7 @@ def test_board_panics(spark):
 
 def test_petersen(spark):
     g = G.petersen(spark)
-    assert g.vertices.count() == 10 and g.arcs.count() == 15
+    assert g.vertices.count() == 10 and g.m() == 2 * 15  # two arcs an edge
 
 
 def test_counts_of_families(spark):
