@@ -1,4 +1,4 @@
-"""Graphs from the data files: books, the economy, football games; plane triangulation."""
+"""Graphs from the data files: books, the economy, football games, cities; plane triangulation."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..core.graph import BAD_SPECS, Graph, PanicError, edges_to_arcs, ordered_arcs
+from ..core.graph import BAD_SPECS, SYNTAX_ERROR, Graph, PanicError, edges_to_arcs, ordered_arcs
 from ..core.rng import Stream, linksort
 from ..sources import datafile
 from .tables import clique_edges, greedy_hierarchy, in_out_counts
@@ -170,6 +170,53 @@ def games(spark: SparkSession, path: str, n: int = 0, ap0: int = 0, upi0: int =
     return Graph(v, ordered_arcs(arcs, ["day", F.least("u", "v"), F.greatest("u", "v"), "u"]), f"games({len(order)},{ap0},{upi0},{ap1},{upi1},{first},{last},{seed})", "IIZSSSIIZZZZZZ")
 
 
+#: Bounds of latitude, longitude (hundredths of a degree) and population in the city file.
+LATITUDES, LONGITUDES, POPULATIONS = (2672, 5042), (7180, 12312), (2521, 875538)
+#: Complementary distances from here on are not among those that max_degree counts.
+COUNTED = 1 << 24
+
+
+def miles(spark: SparkSession, path: str, n: int = 0, north_weight: int = 0, west_weight: int = 0, pop_weight: int = 0, max_distance: int = 0, max_degree: int = 0, seed: int = 0) -> Graph:
+    """The n cities of largest weight, joined at their distance where both count the other among their max_degree nearest within max_distance (0: no bound).
+
+    Ties of weight and of distance come from the random stream. vertices have pop, x, y and index_no; facts["miles"] keeps
+    the distance from vid to vid, negative where the first city gave the second up. The file has 128 cities at most, so the driver does this.
+    """
+    if max(abs(north_weight), abs(west_weight)) > 100_000 or abs(pop_weight) > 100:
+        raise PanicError(BAD_SPECS)
+    cities, dist = datafile.miles_tables(spark, path)
+    rows = cities.orderBy("idx").collect()
+    for k, (low, high) in enumerate((LATITUDES, LONGITUDES, POPULATIONS)):
+        if any(not low <= r[k + 2] <= high for r in rows):
+            raise PanicError(SYNTAX_ERROR + 1 + k, "a city out of bounds")
+    n = n if 0 < n <= len(rows) else len(rows)
+    max_degree = max_degree if 0 < max_degree < n else n - 1
+    stream = Stream(seed)
+    weight = lambda r: north_weight * (r.lat - LATITUDES[0]) + west_weight * (r.lon - LONGITUDES[0]) + pop_weight * (r.pop - POPULATIONS[0]) + (1 << 30)
+    chosen = [r for _, r in linksort([(weight(r), r) for r in rows], stream)][:n]
+    vid = {r.idx: k for k, r in enumerate(chosen)}
+    far = {}
+    for r in dist.collect():
+        if r.i in vid and r.j in vid:
+            far[vid[r.i], vid[r.j]] = far[vid[r.j], vid[r.i]] = r.miles
+    bound = max_distance or 30_000
+    for a in (vid[i] for i in sorted(vid, reverse=True)):
+        near = [b for b in (vid[i] for i in sorted(vid)) if b != a and far[a, b] <= bound]
+        ranked = [b for k, b in linksort([(bound - far[a, b], b) for b in near], stream) if k < COUNTED]
+        for b in ranked[max_degree:] + [b for b in range(n) if b != a and far[a, b] > bound]:
+            far[a, b] = -far[a, b]
+    v = [(k, r.name, r.pop, LONGITUDES[1] - r.lon, (r.lat - LATITUDES[0]) * 3 // 2, len(rows) - 1 - r.idx) for k, r in enumerate(chosen)]
+    e = [(a, b, far[a, b]) for a in range(n) for b in range(a + 1, n) if far[a, b] > 0 and far[b, a] > 0]
+    frame = spark.createDataFrame(v, "vid long, name string, pop long, x long, y long, index_no long")
+    spec = f"miles({n},{north_weight},{west_weight},{pop_weight},{max_distance},{max_degree},{seed})"
+    return Graph(frame, edges_to_arcs(spark.createDataFrame(e, "u long, v long, len long"), ["u", "v"]), spec, "ZZIIIIZZZZZZZZ", facts={"miles": far})
+
+
+def miles_distance(g: Graph, u: int, v: int) -> int:
+    """Miles between two vertices of a graph of cities, negative where u gave v up; the two directions can differ."""
+    return g.facts["miles"][u, v]
+
+
 def roget(refs: list[tuple[int, int]], n: int, min_distance: int, prob: int, seed: int, total: int = 1022) -> list[tuple[int, int]]:
     """Cross references among n of total categories chosen at random, at least min_distance apart, each kept where a 16-bit draw reaches prob."""
     s = Stream(seed)

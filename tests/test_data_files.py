@@ -123,3 +123,41 @@ def test_word_category_city_and_picture_files(spark, tmp_path):
     line = "".join(datafile.char_of(w // 85**k % 85) for w in words for k in range(4, -1, -1))
     datafile.write_lines(tmp_path / "lisa.dat", "Picture", [line])
     assert [r.grey for r in datafile.picture_table(spark, tmp_path / "lisa.dat", 4).orderBy("row", "col").collect()] == grey
+
+
+def test_cities(spark, tmp_path):
+    n, path = 9, tmp_path / "miles.dat"
+    far = {(i, j): 100 + (i * 37 + j * 101) % 997 for i in range(n) for j in range(i)}
+    assert len(set(far.values())) == len(far)
+    lines = []
+    for i in range(n):
+        lines.append(f"City{i}, ZZ[{3000 + 10 * i},{8000 + 7 * i}]{3000 + (i * 5) % n}")
+        lines += [" ".join(str(far[i, j]) for j in reversed(range(i)))] * (i > 0)
+    datafile.write_lines(path, "Cities", lines)
+    miles = lambda **a: library.miles(spark, path, **a)
+    d = lambda a, b: far[max(a, b), min(a, b)]
+
+    g = miles(seed=4)
+    assert g.id == "miles(9,0,0,0,0,8,4)" and (g.n(), g.m(), g.util_types) == (n, n * (n - 1), "ZZIIIIZZZZZZZZ")
+    g = miles(n=6, pop_weight=1)
+    v = [tuple(r) for r in g.vertices.orderBy("vid").collect()]
+    best = sorted(range(n), key=lambda i: -((i * 5) % n))[:6]
+    assert v == [(k, f"City{i}, ZZ", 3000 + (i * 5) % n, 12312 - 8000 - 7 * i, (328 + 10 * i) * 3 // 2, n - 1 - i) for k, i in enumerate(best)]
+    assert {(r.src, r.dst): r.len for r in g.arcs.collect()} == {(a, b): d(best[a], best[b]) for a in range(6) for b in range(6) if a != b}
+
+    bound, cap = 700, 2
+    g = miles(north_weight=-1, max_distance=bound, max_degree=cap, seed=7)  # vid is the place in the file
+    near = {a: sorted((b for b in range(n) if b != a and d(a, b) <= bound), key=lambda b: d(a, b))[:cap] for a in range(n)}  # noqa: B023
+    want = {(a, b): d(a, b) for a in range(n) for b in near[a] if a in near[b]}
+    assert want and {(r.src, r.dst): r.len for r in g.arcs.collect()} == want
+    assert all(library.miles_distance(g, a, b) == (d(a, b) if b in near[a] else -d(a, b)) for a in range(n) for b in range(n) if a != b)
+    assert miles(n=1).m() == 0
+
+    for args, code in (({"north_weight": 200_000}, 30), ({"west_weight": -100_001}, 30), ({"pop_weight": 101}, 30)):
+        with pytest.raises(PanicError) as e:
+            miles(**args)
+        assert e.value.code == code
+    datafile.write_lines(path, "Cities", ["A, XX[4660,12051]49826", "B, YY[4210,7000]115436", "966"])
+    with pytest.raises(PanicError) as e:
+        miles()
+    assert e.value.code == 22
