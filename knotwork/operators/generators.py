@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..core.graph import BAD_SPECS, VERY_BAD_SPECS, Graph, PanicError, edges_to_arcs, numbered, ordered_arcs
+from ..core.graph import BAD_SPECS, INVALID_OPERAND, MISSING_OPERAND, VERY_BAD_SPECS, Graph, PanicError, compound_id, edges_to_arcs, numbered, ordered_arcs
 from ..core.rng import MOD, Stream
 
 MAX_CELLS = 1_000_000_000
@@ -314,117 +316,161 @@ def all_trees(spark: SparkSession, n: int, directed: bool = False) -> Graph:
     return binary(spark, n, directed=directed)
 
 
-def alias_table(dist: list[int]) -> list[tuple[int, int]]:
-    """Walker's table of n columns: draw a column, then keep it when the rest of the draw is under its cut, else take its alias."""
-    n = len(dist)
-    t = MOD >> 1
-    size = 1
-    while size < n:
-        size *= 2
-    per = t // size
-    low = [(d, i) for i, d in enumerate([*dist, *[0] * (size - n)]) if d <= per]
-    high = [(d, i) for i, d in enumerate([*dist, *[0] * (size - n)]) if d > per]
+def alias_table(dist: list[int], size: int) -> list[tuple[int, int]]:
+    """(cut, alias) of each of size columns, a power of 2 and not under len(dist): a draw of 31 bits falls into the column of its top bits and stands for it up to the cut, for the alias beyond."""
+    per = (MOD >> 1) // size
+    low: list[tuple[int, int]] = []
+    high: list[tuple[int, int]] = []
+    for i in reversed(range(size)):
+        d = dist[i] if i < len(dist) else 0
+        (high if d > per else low).append((d, i))
     out = [(0, 0)] * size
-    while low:
-        d, i = low.pop()
-        if not high:
-            out[i] = (per, i)
-            continue
-        e, j = high.pop()
-        out[i] = (d, j)
-        (high if e - (per - d) > per else low).append((e - (per - d), j))
-    for _, i in high:
-        out[i] = (per, i)
+    while high:
+        (e, j), (d, i) = high.pop(), low.pop()
+        out[i] = 2 * (per * i + d) - 1, j
+        e -= per - d
+        (high if e > per else low).append((e, j))
+    for _, i in low:
+        out[i] = 2 * per * (i + 1) - 1, i
     return out
 
 
-def checked_distribution(dist: list[int] | None, n: int, code: int) -> None:
-    """n nonnegative integers of sum 2^30, else a panic with the first, second or third code from code on."""
+def checked_distribution(dist: list[int], n: int, codes: tuple[int, int, int]) -> None:
+    """n nonnegative integers of sum 2^30; panics with the first code at a negative one, the second where the sum passes 2^30, the third where it stays under it or numbers lack."""
+    total = 0
+    for d in dist[:n]:
+        if d < 0:
+            raise PanicError(codes[0])
+        total += d
+        if total > MOD >> 1:
+            raise PanicError(codes[1])
+    if total != MOD >> 1 or len(dist) < n:
+        raise PanicError(codes[2])
+
+
+def _columns(n: int) -> int:
+    return 1 << (n - 1).bit_length()
+
+
+def picker(stream: Stream, n: int, dist: list[int] | None) -> Callable[[], int]:
+    """Draws from 0 to n - 1 out of the stream, uniform or by a distribution of sum 2^30."""
     if dist is None:
-        return
-    if any(d < 0 for d in dist):
-        raise PanicError(code)
-    if sum(dist) > MOD >> 1:
-        raise PanicError(code + 1)
-    if sum(dist) != MOD >> 1 or len(dist) < n:
-        raise PanicError(code + 2)
+        return lambda: stream.below(n)
+    size = _columns(n)
+    table, shift = alias_table(dist[:n], size), 31 - (size.bit_length() - 1)
+
+    def pick() -> int:
+        r = stream.next()
+        k = r >> shift
+        return k if r <= table[k][0] else table[k][1]
+
+    return pick
+
+
+def _length_range(min_len: int, max_len: int, wide: int) -> None:
+    if max_len < min_len:
+        raise PanicError(VERY_BAD_SPECS)
+    if max_len - min_len >= MOD:
+        raise PanicError(wide)
+
 
+def _dist_code(dist: list[int] | None) -> str:
+    return "0" if dist is None else "dist"
 
-def random_graph(spark: SparkSession, n: int, m: int, multi: int = 0, self_loops: bool = False, directed: bool = False, min_len: int = 1, max_len: int = 1, seed: int = 0) -> Graph:
-    """m random edges or arcs drawn one after another from the portable stream (uniform ends and lengths).
 
-    multi 1 keeps repeats, 0 draws again, -1 keeps the shorter. Draws depend on all before them, so the driver makes them;
+def _sign(x: int) -> int:
+    return (x > 0) - (x < 0)
+
+
+def random_graph(spark: SparkSession, n: int, m: int, multi: int = 0, self_loops: bool = False, directed: bool = False, min_len: int = 1, max_len: int = 1, seed: int = 0, dist_from: list[int] | None = None, dist_to: list[int] | None = None) -> Graph:
+    """m random edges or arcs drawn one after another from the portable stream; ends are uniform or by distributions of n integers of sum 2^30.
+
+    multi > 0 keeps repeats, 0 draws again, < 0 keeps the least length. Draws depend on all before them, so the driver makes them;
     random_native has the same distribution on the executors.
     """
     if n < 1:
         raise PanicError(BAD_SPECS)
-    if n >= MOD or m >= MOD:
-        raise PanicError(BAD_SPECS + 1)
-    if max_len < min_len:
-        raise PanicError(VERY_BAD_SPECS)
-    if max_len - min_len >= MOD:
-        raise PanicError(BAD_SPECS + 2)
+    _length_range(min_len, max_len, BAD_SPECS + 1)
+    for dist, code in ((dist_from, INVALID_OPERAND), (dist_to, INVALID_OPERAND + 5)):
+        if dist is not None:
+            checked_distribution(dist, n, (code, code + 1, code + 2))
     s = Stream(seed)
+    tail, tip = picker(s, n, dist_from), picker(s, n, dist_to)
     out: list[tuple[int, int, int]] = []
     first: dict[tuple[int, int], int] = {}
-    while len(out) < m and m:
-        u, v = s.below(n), s.below(n)
+    left = m
+    while left:
+        u, v = tail(), tip()
         if u == v and not self_loops:
             continue
         key = (u, v) if directed else (min(u, v), max(u, v))
         if key in first and multi == 0:
             continue
         length = min_len if min_len == max_len else min_len + s.below(max_len - min_len + 1)
+        left -= 1
         if key in first and multi < 0:
             i = first[key]
-            out[i] = (*out[i][:2], min(out[i][2], length))
-            m -= 1
+            out[i] = (*key, min(out[i][2], length))
             continue
         first[key] = len(out)
         out.append((*key, length))
     e = spark.createDataFrame([(k, *x) for k, x in enumerate(out)], "k long, u long, v long, len long")
     v = spark.range(n).select(F.col("id").alias("vid"), F.col("id").cast("string").alias("name"))
-    id = f"random_graph({n},{m},{multi},{int(self_loops)},{int(directed)},0,0,{min_len},{max_len},{seed})"
+    id = f"random_graph({n},{m},{_sign(multi)},{int(self_loops)},{int(directed)},{_dist_code(dist_from)},{_dist_code(dist_to)},{min_len},{max_len},{seed})"
     return Graph(v, (ordered_arcs if directed else edges_to_arcs)(e, ["k"]).drop("k"), id)
 
 
-def random_native(spark: SparkSession, n: int, m: int, multi: int = 0, self_loops: bool = False, max_len: int = 1, seed: int = 0) -> DataFrame:
-    """m independent draws on the executors: src, dst, len. multi 1 keeps repeats, 0 one of them, -1 the shortest; loops go unless self_loops."""
-    pick = lambda bound, salt: F.floor(F.rand(seed * 3 + salt) * bound).cast("long")
-    e = spark.range(m).select(pick(n, 1).alias("src"), pick(n, 2).alias("dst"), (1 + pick(max_len, 3)).alias("len"))
+def native_picks(arcs: DataFrame, column: str, n: int, dist: list[int] | None, seed: int) -> DataFrame:
+    """arcs with a column of independent draws from 0 to n - 1, by a distribution of sum 2^30 through its alias table (as long as the distribution given)."""
+    if dist is None:
+        return arcs.withColumn(column, F.floor(F.rand(seed) * n).cast("long"))
+    checked_distribution(dist, n, (INVALID_OPERAND, INVALID_OPERAND + 1, INVALID_OPERAND + 2))
+    size = _columns(n)
+    table = arcs.sparkSession.createDataFrame([(k, *x) for k, x in enumerate(alias_table(dist[:n], size))], "__k long, __cut long, __alias long")
+    drawn = arcs.withColumn("__r", F.floor(F.rand(seed) * MOD).cast("long")).withColumn("__k", F.floor(F.col("__r") / (MOD // size)).cast("long"))
+    return drawn.join(table, "__k").withColumn(column, F.when(F.col("__r") <= F.col("__cut"), F.col("__k")).otherwise(F.col("__alias"))).drop("__r", "__k", "__cut", "__alias")
+
+
+def random_native(spark: SparkSession, n: int, m: int, multi: int = 0, self_loops: bool = False, max_len: int = 1, seed: int = 0, dist_from: list[int] | None = None, dist_to: list[int] | None = None) -> DataFrame:
+    """m independent draws on the executors: src, dst, len. multi > 0 keeps repeats, 0 one of them, < 0 the shortest; loops go unless self_loops."""
+    e = spark.range(m).withColumn("len", (1 + F.floor(F.rand(seed * 3 + 3) * max_len)).cast("long")).drop("id")
+    e = native_picks(native_picks(e, "src", n, dist_from, seed * 3 + 1), "dst", n, dist_to, seed * 3 + 2).select("src", "dst", "len")
     e = e if self_loops else e.filter("src <> dst")
-    return e if multi == 1 else e.groupBy("src", "dst").agg(F.min("len").alias("len")) if multi < 0 else e.dropDuplicates(["src", "dst"])
+    return e if multi > 0 else e.groupBy("src", "dst").agg(F.min("len").alias("len")) if multi < 0 else e.dropDuplicates(["src", "dst"])
 
 
-def random_bigraph(spark: SparkSession, n1: int, n2: int, m: int, multi: int = 0, max_len: int = 1, seed: int = 0) -> Graph:
-    """Random edges between two parts, from the portable stream."""
+def random_bigraph(spark: SparkSession, n1: int, n2: int, m: int, multi: int = 0, min_len: int = 1, max_len: int = 1, seed: int = 0, dist1: list[int] | None = None, dist2: list[int] | None = None) -> Graph:
+    """Random edges between n1 and n2 vertices: a random graph whose tails have the first part's distribution and whose tips have the second's, nearly uniform where none is given."""
     if n1 < 1 or n2 < 1:
         raise PanicError(BAD_SPECS)
-    s, out, first = Stream(seed), [], {}
-    while len(out) < m:
-        key = s.below(n1), n1 + s.below(n2)
-        if key in first and not multi:
-            continue
-        length = 1 if max_len == 1 else 1 + s.below(max_len)
-        first[key] = 1
-        out.append((len(out), *key, length))
-    v = spark.range(n1 + n2).select(F.col("id").alias("vid"), F.col("id").cast("string").alias("name"))
-    return Graph(v, edges_to_arcs(spark.createDataFrame(out, "k long, u long, v long, len long"), ["k"]).drop("k"), f"random_bigraph({n1},{n2},{m},{multi},0,0,1,{max_len},{seed})").bipartite(n1)
-
+    _length_range(min_len, max_len, BAD_SPECS + 1)
+    even = lambda n: [((MOD >> 1) + k) // n for k in range(n)]
+    tails = list(dist1[:n1] if dist1 is not None else even(n1)) + [0] * n2
+    tips = [0] * n1 + list(dist2[:n2] if dist2 is not None else even(n2))
+    g = random_graph(spark, n1 + n2, m, multi, False, False, min_len, max_len, seed, tails, tips)
+    id = f"random_bigraph({n1},{n2},{m},{_sign(multi)},{_dist_code(dist1)},{_dist_code(dist2)},{min_len},{max_len},{seed})"
+    return replace(g, id=id).bipartite(n1)
 
-def random_lengths(g: Graph, min_len: int, max_len: int, seed: int) -> Graph:
-    """New lengths for undirected edges, drawn in the order of vertices and their lists; both arcs of an edge get one draw."""
-    from dataclasses import replace
 
-    from pyspark.sql import Window
+def random_lengths(g: Graph | None, directed: bool, min_len: int, max_len: int, dist: list[int] | None = None, seed: int = 0) -> Graph:
+    """New lengths from the portable stream, drawn in the order of vertices and their lists; unless directed, both arcs of an edge get one draw, that of the lower end.
 
-    a = g.adjacency()
-    own = a.filter(F.col("slot") % 2 == 0)
-    turn = F.row_number().over(Window.orderBy("src", "pos")) - 1
+    dist has max_len - min_len + 1 integers of sum 2^30. The stream is sequential: the driver makes one draw an arc.
+    """
+    if g is None:
+        raise PanicError(MISSING_OPERAND)
+    _length_range(min_len, max_len, BAD_SPECS)
+    span = max_len - min_len + 1
+    if dist is not None:
+        checked_distribution(dist, span, (-1, 1, 2))
     s = Stream(seed)
-    table = g.spark.createDataFrame([(k, min_len + (s.below(max_len - min_len + 1) if max_len > min_len else 0)) for k in range(own.count())], "turn int, len long")
-    new = own.withColumn("turn", turn).join(table.withColumnRenamed("len", "l"), "turn").select(F.explode(F.array(F.col("slot"), F.col("slot") + 1)).alias("slot"), "l")
-    return replace(g, arcs=g.arcs.drop("len").join(new, "slot").withColumnRenamed("l", "len"), id=f"random_lengths({g.id},0,{min_len},{max_len},0,{seed})")
+    pick = (lambda: 0) if dist is None and span == 1 else picker(s, span, dist)
+    a = g.adjacency().select("slot", "src", "pos")
+    own = numbered(a if directed else a.filter(F.col("slot") % 2 == 0), ["src", "pos"], "turn")
+    table = g.spark.createDataFrame([(k, min_len + pick()) for k in range(own.count())], "turn long, l long")
+    new = own.join(table, "turn").select(F.col("slot") if directed else F.explode(F.array(F.col("slot"), F.col("slot") + 1)).alias("slot"), "l")
+    id = compound_id("random_lengths(", g.id, f",{int(directed)},{min_len},{max_len},{_dist_code(dist)},{seed})")
+    return replace(g, arcs=g.arcs.drop("len").join(new, "slot").withColumnRenamed("l", "len"), id=id)
 
 
 def _residue(x: int, q: int) -> bool:

@@ -1,4 +1,4 @@
-"""Graphs from the data files: books, the economy, football games, cities; plane triangulation."""
+"""Graphs from the data files: books, the economy, football games, cities, words, the thesaurus, the picture; plane triangulation."""
 
 from __future__ import annotations
 
@@ -7,10 +7,11 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..core.graph import BAD_SPECS, SYNTAX_ERROR, Graph, PanicError, edges_to_arcs, ordered_arcs
+from ..core.graph import BAD_SPECS, IMPOSSIBLE, NO_ROOM, SYNTAX_ERROR, VERY_BAD_SPECS, Graph, PanicError, edges_to_arcs, numbered, ordered_arcs
 from ..core.rng import Stream, linksort
+from ..core.store import stored
 from ..sources import datafile
-from .tables import clique_edges, greedy_hierarchy, in_out_counts
+from .tables import clique_edges, greedy_hierarchy, hamming_edges, in_out_counts, overlap_sums, regions, threshold_bipartite
 
 LIMIT = 1_000_000
 
@@ -217,8 +218,45 @@ def miles_distance(g: Graph, u: int, v: int) -> int:
     return g.facts["miles"][u, v]
 
 
-def roget(refs: list[tuple[int, int]], n: int, min_distance: int, prob: int, seed: int, total: int = 1022) -> list[tuple[int, int]]:
-    """Cross references among n of total categories chosen at random, at least min_distance apart, each kept where a 16-bit draw reaches prob."""
+#: Weights of a word (common, advanced, seven counts) and the largest count of each kind in the word file.
+WORD_WEIGHTS, LARGEST_COUNTS = (100, 10, 4, 2, 2, 1, 1, 1, 1), (15194, 3560, 4467, 460, 6976, 756, 362)
+#: Categories of the thesaurus; rows, columns and greatest grey of the picture.
+CATEGORIES, PICTURE_ROWS, PICTURE_COLS, GREYEST = 1022, 360, 250, 255
+
+
+def words(spark: SparkSession, path: str, n: int = 0, weights: tuple[int, ...] | None = None, threshold: int = 0, seed: int = 0) -> Graph:
+    """The n five-letter words of largest weight that reaches threshold (0: all), joined where they differ at one place; arcs keep that place as pos.
+
+    weights are those of common and of advanced words and of the seven counts. Ties come from the random stream, so the driver
+    ranks the words (5757 in the file); tables.weighted_top ranks tables of any size. vertices have weight.
+    """
+    own = tuple(weights or WORD_WEIGHTS)
+    most = max(abs(own[0]), abs(own[1])) + sum(abs(w) * c for w, c in zip(own[2:], LARGEST_COUNTS, strict=True))
+    if most >= 0x60000000:
+        raise PanicError(VERY_BAD_SPECS)
+    if most >= 1 << 30:
+        raise PanicError(BAD_SPECS)
+    items = []
+    for r in datafile.words_table(spark, path).orderBy(F.desc("pos")).collect():
+        if r.cls not in "*+ ":
+            raise PanicError(SYNTAX_ERROR, r.word)
+        if len(r.counts) > len(LARGEST_COUNTS):
+            raise PanicError(SYNTAX_ERROR + 1, r.word)
+        if any(c > most_of for c, most_of in zip(r.counts, LARGEST_COUNTS, strict=False)):
+            raise PanicError(SYNTAX_ERROR + 2, r.word)
+        weight = {"*": own[0], "+": own[1], " ": 0}[r.cls] + sum(c * w for c, w in zip(r.counts, own[2:], strict=False))
+        if weight >= threshold:
+            items.append((weight, r.word))
+    order = linksort(items, Stream(seed))[: n or None]
+    v = spark.createDataFrame([(k, word, weight) for k, (weight, word) in enumerate(order)], "vid long, name string, weight long")
+    e = hamming_edges(v.select(F.col("name").alias("word"))).join(v.select(F.col("name").alias("a"), F.col("vid").alias("u")), "a").join(v.select(F.col("name").alias("b"), F.col("vid").alias("v")), "b")
+    e = e.select("u", "v", F.lit(1).cast("long").alias("len"), "pos")
+    vector = "0" if weights is None else "{" + ",".join(map(str, own)) + "}"
+    return Graph(v, edges_to_arcs(e, [F.greatest("u", "v"), "pos", F.least("u", "v")]), f"words({len(order)},{vector},{threshold},{seed})", "IZZZZZIZZZZZZZ")
+
+
+def chosen_references(refs: list[tuple[int, int]], n: int, min_distance: int, prob: int, seed: int, total: int = CATEGORIES) -> tuple[dict[int, int], list[tuple[int, int]]]:
+    """(vid of each of n of total categories chosen at random, references between them): at least min_distance apart, each kept where a 16-bit draw reaches prob."""
     s = Stream(seed)
     pool, number = list(range(1, total + 1)), {}
     for v in range(n - 1, -1, -1):
@@ -226,7 +264,80 @@ def roget(refs: list[tuple[int, int]], n: int, min_distance: int, prob: int, see
         number[pool[j]] = v
         pool[j] = pool[-1]
         pool.pop()
-    return [(number[a], number[b]) for a, b in refs if a in number and b in number and abs(a - b) >= min_distance and (not prob or (s.next() >> 15) >= prob)]
+    return number, [(number[a], number[b]) for a, b in refs if a in number and b in number and abs(a - b) >= min_distance and (not prob or (s.next() >> 15) >= prob)]
+
+
+def roget(spark: SparkSession, path: str, n: int = 0, min_distance: int = 0, prob: int = 0, seed: int = 0) -> Graph:
+    """n random categories of the thesaurus with an arc for each cross reference between them that is at least min_distance long and that a 16-bit draw of at least prob keeps.
+
+    vertices have cat, the category's number. References are drawn in the order of the file (1022 categories), so the driver does this.
+    """
+    n = n if 0 < n <= CATEGORIES else CATEGORIES
+    cats, refs = datafile.roget_tables(spark, path)
+    name = {r.cat: r["name"] for r in cats.collect()}
+    pairs = [(r.src, r.dst) for r in refs.collect()]
+    if any(b > CATEGORIES for _, b in pairs):
+        raise PanicError(SYNTAX_ERROR + 2)
+    if sorted(name) != list(range(1, CATEGORIES + 1)):
+        raise PanicError(IMPOSSIBLE, "categories lack or come twice")
+    number, arcs = chosen_references(pairs, n, min_distance, prob, seed)
+    v = spark.createDataFrame([(k, name[c], c) for c, k in sorted(number.items(), key=lambda x: x[1])], "vid long, name string, cat long")
+    e = spark.createDataFrame([(k, *x, 1) for k, x in enumerate(arcs)], "k long, u long, v long, len long")
+    return Graph(v, ordered_arcs(e, ["k"]).drop("k"), f"roget({n},{min_distance},{prob},{seed})", "IZZZZZZZZZZZZZ")
+
+
+def lisa(spark: SparkSession, path: str, m: int = 0, n: int = 0, d: int = 0, m0: int = 0, m1: int = 0, n0: int = 0, n1: int = 0, d0: int = 0, d1: int = 0) -> tuple[DataFrame, tuple[int, ...]]:
+    """(cells(i, j, val), the nine parameters with their defaults filled in): rows m0 to m1 and columns n0 to n1 of the picture as an m x n matrix.
+
+    A new cell's sum of greys times shares of area is scaled from [d0, d1) to [0, d]; sums are whole, and so is the division.
+    """
+    m1 = m1 if 0 < m1 <= PICTURE_ROWS else PICTURE_ROWS
+    if m1 <= m0:
+        raise PanicError(BAD_SPECS + 1)
+    n1 = n1 if 0 < n1 <= PICTURE_COLS else PICTURE_COLS
+    if n1 <= n0:
+        raise PanicError(BAD_SPECS + 2)
+    rows, cols = m1 - m0, n1 - n0
+    m, n, d, d1 = m or rows, n or cols, d or GREYEST, d1 or GREYEST * rows * cols
+    if d1 <= d0:
+        raise PanicError(BAD_SPECS + 3)
+    if d1 >= 1 << 31:
+        raise PanicError(BAD_SPECS + 4)
+    if m * n >= 1 << 31:
+        raise PanicError(NO_ROOM + 1)
+    window = datafile.picture_table(spark, path).filter(F.col("row").between(m0, m1 - 1) & F.col("col").between(n0, n1 - 1))
+    s = overlap_sums(window.select((F.col("row") - m0).alias("i"), (F.col("col") - n0).alias("j"), F.col("grey").alias("val")), rows, cols, m, n)
+    val = F.when(F.col("s") <= d0, 0).when(F.col("s") >= d1, d).otherwise(F.expr(f"({d}L * (s - {d0}L)) div {d1 - d0}L"))
+    return s.select(F.col("r").cast("long").alias("i"), F.col("c").cast("long").alias("j"), val.cast("long").alias("val")), (m, n, d, m0, m1, n0, n1, d0, d1)
+
+
+def plane_lisa(spark: SparkSession, path: str, *spec: int) -> Graph:
+    """The regions of equal value of lisa(spec), numbered by their first cells and joined where they touch; vertices have val, first and last, their cells in reading order."""
+    cells, full = lisa(spark, path, *spec)
+    return region_graph(stored(cells, "lisa"), full[0], full[1], f"plane_lisa({','.join(map(str, full))})")
+
+
+def region_graph(cells: DataFrame, m: int, n: int, id: str) -> Graph:
+    """The graph of the 4-connected regions of equal value of an m x n matrix cells(i, j, val); edges come in the order in which reading the cells meets them, the cell above before the one to the left."""
+    at = (F.col("i") * n + F.col("j")).cast("long")
+    own = stored(cells.withColumn("cell", at).join(regions(cells, n), "cell"), "region_cells")
+    v = numbered(own.groupBy("region").agg(F.max("cell").alias("last"), F.first("val").alias("val")), ["region"], "vid")
+    vid = v.select("region", F.col("vid").alias("u"))
+    here = own.join(vid, "region").select("i", "j", "cell", "u")
+    up = here.select((F.col("i") + 1).alias("i"), "j", F.col("u").alias("v"), F.lit(0).alias("side"))
+    left = here.select("i", (F.col("j") + 1).alias("j"), F.col("u").alias("v"), F.lit(1).alias("side"))
+    met = here.join(up.unionByName(left), ["i", "j"]).filter("u <> v")
+    e = met.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min(2 * F.col("cell") + F.col("side")).alias("place")).withColumn("len", F.lit(1).cast("long"))
+    frame = v.select("vid", F.col("vid").cast("string").alias("name"), "val", F.col("region").alias("first"), "last")
+    return Graph(frame, edges_to_arcs(e, ["place"]).drop("place"), id, "ZZZIIIZZIIZZZZ", facts={"rows": m, "cols": n})
+
+
+def bi_lisa(spark: SparkSession, path: str, m: int = 0, n: int = 0, m0: int = 0, m1: int = 0, n0: int = 0, n1: int = 0, threshold: int = 0, below: bool = False) -> Graph:
+    """Rows r0, r1, ... of the picture in m x n cells joined to columns c0, c1, ... where the cell, in 65536 greys, reaches threshold (below: is under it); arcs have its value as b."""
+    cells, (m, n, _, m0, m1, n0, n1, _, _) = lisa(spark, path, m, n, 65535, m0, m1, n0, n1)
+    v = spark.range(m + n).select(F.col("id").alias("vid"), F.when(F.col("id") < m, F.concat(F.lit("r"), F.col("id"))).otherwise(F.concat(F.lit("c"), F.col("id") - m)).alias("name"))
+    e = threshold_bipartite(cells, threshold, below).select(F.col("src").alias("u"), (F.col("dst") + m).alias("v"), F.lit(1).cast("long").alias("len"), "b")
+    return Graph(v, edges_to_arcs(e, ["u", "v"]), f"bi_lisa({m},{n},{m0},{m1},{n0},{n1},{threshold},{int(below)})", "ZZZZZZZIZZZZZZ").bipartite(m)
 
 
 def orientation(a, b, c) -> int:

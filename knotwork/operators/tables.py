@@ -97,8 +97,8 @@ def match_pairs(games: DataFrame) -> DataFrame:
     return one.unionByName(two)
 
 
-def regrid(cells: DataFrame, rows: int, cols: int, m: int, n: int, d0: int, d1: int, d: int) -> DataFrame:
-    """cells(i, j, val) of a rows x cols matrix as an m x n one: area-weighted sums, then floor of (x - d0) * d / (d1 - d0), held within 0 and d.
+def overlap_sums(cells: DataFrame, rows: int, cols: int, m: int, n: int) -> DataFrame:
+    """cells(i, j, val) of a rows x cols matrix dealt to an m x n one (r, c): sums s of values times shares of area, in which a new cell has rows * cols shares.
 
     In units of 1/m and 1/n of a cell all overlaps are whole numbers: old cell i spans [i m, (i + 1) m), new cell r spans [r rows, (r + 1) rows).
     Each old cell is split over the new cells that it meets, so there is no join at all.
@@ -107,7 +107,12 @@ def regrid(cells: DataFrame, rows: int, cols: int, m: int, n: int, d0: int, d1:
     over = lambda i, r, big, small: F.least((F.col(i) + 1) * small, (F.col(r) + 1) * big) - F.greatest(F.col(i) * small, F.col(r) * big)
     x = cells.withColumn("r", part("i", rows, m)).withColumn("c", part("j", cols, n))
     x = x.withColumn("w", (over("i", "r", rows, m) * over("j", "c", cols, n)).cast("long"))
-    s = x.groupBy("r", "c").agg(F.sum(F.col("val") * F.col("w")).alias("s"))
+    return x.groupBy("r", "c").agg(F.sum(F.col("val") * F.col("w")).alias("s"))
+
+
+def regrid(cells: DataFrame, rows: int, cols: int, m: int, n: int, d0: int, d1: int, d: int) -> DataFrame:
+    """cells(i, j, val) of a rows x cols matrix as an m x n one: area-weighted means, then floor of (x - d0) * d / (d1 - d0), held within 0 and d."""
+    s = overlap_sums(cells, rows, cols, m, n)
     area = rows * cols
     scaled = F.floor((F.col("s") - d0 * area).cast("decimal(38,0)") * d / ((d1 - d0) * area)).cast("long")
     return s.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.least(F.lit(d), F.greatest(F.lit(0), scaled)).cast("long").alias("val"))

@@ -187,12 +187,19 @@ def miles_tables(spark: SparkSession, path: str | Path) -> tuple[DataFrame, Data
 
 
 def picture_table(spark: SparkSession, path: str | Path, width: int = 250) -> DataFrame:
-    """pixels(row, col, grey): five base-85 digits hold four pixels, a row's pixels may take several lines."""
+    """pixels(row, col, grey): in a row, five base-85 digits hold four pixels, and three hold the last two of a width that isn't a multiple of 4; a row may take several lines."""
     digits = [code_of(ch) for x in read_lines(path) for ch in x]
-    grey: list[int] = []
-    for k in range(0, len(digits) - 4, 5):
-        v = 0
-        for d in digits[k : k + 5]:
-            v = v * 85 + d
-        grey += [v >> 24 & 255, v >> 16 & 255, v >> 8 & 255, v & 255]
-    return spark.createDataFrame([(k // width, k % width, g) for k, g in enumerate(grey)], "row int, col int, grey int")
+    groups = [(5, 4)] * (width // 4) + [(3, 2)] * (width % 4 // 2)
+    row = sum(n for n, _ in groups)
+    if len(digits) % row or max(digits, default=0) >= 85:
+        raise PanicError(SYNTAX_ERROR, "a row isn't whole")
+    pixels, at = [], 0
+    for k in range(len(digits) // row):
+        col = 0
+        for n, count in groups:
+            v = 0
+            for d in digits[at : at + n]:
+                v = v * 85 + d
+            pixels += [(k, col + i, v >> 8 * (count - 1 - i) & 255) for i in range(count)]
+            at, col = at + n, col + count
+    return spark.createDataFrame(pixels, "row int, col int, grey int")
