@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from .common import components, mix, stored
 MISS = 0.002
 #: Members of one bucket in one group; larger buckets are cut into pairs of parts of this size.
 PART, TILE = 4096, 1024
+#: Groups of up to SMALL rows are estimated together by size; groups come together until there are CHUNK rows.
+SMALL, CHUNK = 64, 8192
 #: Standard deviations of the estimate that the confidence bound takes.
 SIGMAS = 4.5
 SHARD, QUERY_BLOCK, LEAF = 8192, 2048, 64
@@ -57,37 +61,69 @@ def estimated(rot_a: np.ndarray, signs_b: np.ndarray, factor_b: np.ndarray) -> t
     """Unbiased estimates of the inner products of unit vectors a with the coded b, and half the width of their confidence bounds.
 
     b is known by the signs of its rotated components and factor = <b, code>, a by its rotated components.
-    <a, code> / factor estimates <a, b>; its error shrinks with the square root of dim - 1.
+    <a, code> / factor estimates <a, b>; its error shrinks with the square root of dim - 1. Stacks of matrices give stacks.
     """
-    dim = rot_a.shape[1]
-    est = (rot_a @ signs_b.T) / math.sqrt(dim) / factor_b
+    dim = rot_a.shape[-1]
+    est = (rot_a @ np.swapaxes(signs_b, -1, -2)) / math.sqrt(dim) / factor_b
     half = SIGMAS * np.sqrt(np.maximum(0, 1 - factor_b**2) / factor_b**2 / max(1, dim - 1))
     return est, half
 
 
-def _links(x: np.ndarray, bucket: np.ndarray, band: int, threshold: float, sides: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs i < j that meet in no earlier band. sides: only pairs with different sides, if given."""
+def _candidates(rot: np.ndarray, signs: np.ndarray, factor: np.ndarray, starts: np.ndarray, sizes: np.ndarray, own: np.ndarray, mixed: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs i < j of rows of one group that the bounds don't rule out; groups are runs of rows. In mixed groups only pairs of different parts.
+
+    Groups of one size are estimated together, as most hold a few rows only; larger ones go tile by tile.
+    """
+    for size in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]):
+        same = np.flatnonzero(sizes == size)
+        upper = np.triu(np.ones((size, size), bool), 1)
+        step = max(1, (1 << 20) // int(size * max(size, rot.shape[1])))
+        for a in range(0, len(same), step):
+            g = same[a : a + step]
+            at = starts[g][:, None] + np.arange(size)
+            est, half = estimated(rot[at], signs[at], factor[at][:, None, :])
+            m = (est + half >= threshold - 1e-5) & upper & (~mixed[g][:, None, None] | (own[at][:, :, None] != own[at][:, None, :]))
+            k, i, j = np.nonzero(m)
+            yield at[k, i], at[k, j]
+    for g in np.flatnonzero(sizes > SMALL):
+        first, last = starts[g], starts[g] + sizes[g]
+        for a in range(first, last, TILE):
+            for b in range(a, last, TILE):
+                p, q = slice(a, min(a + TILE, last)), slice(b, min(b + TILE, last))
+                est, half = estimated(rot[p], signs[q], factor[q][None, :])
+                i, j = np.nonzero(est + half >= threshold - 1e-5)
+                i, j = i + a, j + b
+                m = i < j
+                if mixed[g]:
+                    m &= own[i] != own[j]
+                yield i[m], j[m]
+
+
+def _links(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray, band: np.ndarray, own: np.ndarray, mixed: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs i < j of the groups of x that meet in no earlier band than their group's. Codes are made for rows of linked pairs only."""
+    dim = x.shape[1]
     norm = np.sqrt((x * x).sum(1))
     u = x / norm[:, None]
-    rot = (u @ rotation(x.shape[1], 0).T).astype(np.float32)
+    rot = (u @ rotation(dim, 0).T).astype(np.float32)
     signs = np.where(rot > 0, np.float32(1), np.float32(-1))
-    factor = np.abs(rot).sum(1) / math.sqrt(x.shape[1])
-    out = []
-    for a in range(0, len(x), TILE):
-        for b in range(a, len(x), TILE):
-            est, half = estimated(rot[a : a + TILE], signs[b : b + TILE], factor[b : b + TILE])
-            i, j = np.nonzero(est + half[None, :] >= threshold - 1e-5)
-            i, j = i + a, j + b
-            m = i < j
-            if sides is not None:
-                m &= sides[i] != sides[j]
-            i, j = i[m], j[m]
-            for c in range(0, len(i), 1 << 18):
-                p, q = i[c : c + (1 << 18)], j[c : c + (1 << 18)]
-                m = (x[p] * x[q]).sum(1) / (norm[p] * norm[q]) >= threshold
-                m[m] = ~(bucket[p[m], :band] == bucket[q[m], :band]).any(1)
-                out.append((p[m], q[m]))
-    return (np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])) if out else (np.zeros(0, int), np.zeros(0, int))
+    factor = np.abs(rot).sum(1) / math.sqrt(dim)
+    found = [(np.zeros(0, np.int64),) * 2]
+    for i, j in _candidates(rot, signs, factor, starts, sizes, own, mixed, threshold):
+        for c in range(0, len(i), 1 << 16):
+            p, q = i[c : c + (1 << 16)], j[c : c + (1 << 16)]
+            m = (x[p] * x[q]).sum(1) / (norm[p] * norm[q]) >= threshold
+            found.append((p[m], q[m]))
+    i, j = (np.concatenate(f) for f in zip(*found, strict=True))
+    if not len(i):
+        return i, j
+    bits, bands = banding(n, dim, threshold)
+    rows, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    code = np.concatenate([codes(u[rows[c : c + 4096]], bits, bands) for c in range(0, len(rows), 4096)])
+    new = np.ones(len(i), bool)
+    for c in range(0, len(i), 1 << 16):
+        p, q = at[: len(i)][c : c + (1 << 16)], at[len(i) :][c : c + (1 << 16)]
+        new[c : c + (1 << 16)] = ~((code[p] == code[q]) & (np.arange(bands) < band[i[c : c + (1 << 16)]][:, None])).any(1)
+    return i[new], j[new]
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
@@ -130,18 +166,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     met = met.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("g", "band", "k", "m", "own", F.least("own", "t").alias("i"), F.greatest("own", "t").alias("j"))
     met = met.join(classes.select("k", "e"), "k").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "k")
 
-    def verify(batches):
-        held, cur = [], None
-
-        def solve():
-            t = pa.Table.from_batches(held).combine_chunks()
-            key, m, own = t.column("k").to_numpy(), t.column("m").to_numpy(), t.column("own").to_numpy()
-            x = _matrix(t.column("e").combine_chunks())
-            scaled = x / np.abs(x).max(1)[:, None]
-            bits, bands = banding(n, x.shape[1], threshold)
-            band = t.column("band")[0].as_py()
-            c = codes(scaled / np.sqrt((scaled * scaled).sum(1))[:, None], bits, bands)
-            i, j = _links(scaled, c, band, threshold, own if cur[1] != cur[2] else None)
+    def solve(t: pa.Table, cut: np.ndarray):
+        """Links of the groups of t, runs of rows that begin at cut."""
+        dims = pc.list_value_length(t.column("e")).to_numpy()
+        sizes = np.diff(cut, append=len(t))
+        for d in np.unique(dims[cut]).tolist():
+            part = t.filter(pa.array(dims == d)).combine_chunks()  # vectors of one group have one length
+            count = sizes[dims[cut] == d]
+            key, m, own, band, i, j = (part.column(c).to_numpy() for c in ("k", "m", "own", "band", "i", "j"))
+            x = _matrix(part.column("e").combine_chunks())
+            starts = np.cumsum(count) - count
+            i, j = _links(x / np.abs(x).max(1)[:, None], starts, count, band, own, (i != j)[starts], n, threshold)
             links = np.bincount(i, m[j], len(key)) + np.bincount(j, m[i], len(key))
             lab = np.arange(len(key))
             while True:
@@ -152,22 +187,29 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
                 if (lab == old).all():
                     break
             at = np.flatnonzero(links)
-            return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(key[lab[at]]), pa.array(links[at].astype(np.int64))], names=["u", "v", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(key[lab[at]]), pa.array(links[at].astype(np.int64))], names=["u", "v", "n"])
+
+    def verify(batches):
+        """Whole groups, CHUNK rows and more at a time; the last group of what has come waits for its other rows."""
+        held = []
+
+        def cuts(t):
+            g, i, j = (t.column(c).to_numpy() for c in ("g", "i", "j"))
+            return np.concatenate([[0], np.flatnonzero((g[1:] != g[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1])
 
         for b in batches:
-            g, i, j = (b.column(c).to_numpy() for c in ("g", "i", "j"))
-            if not len(g):
+            if not len(b):
                 continue
-            cut = [0, *(np.flatnonzero((g[1:] != g[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist(), len(g)]
-            for a, z in zip(cut[:-1], cut[1:], strict=True):
-                name = (g[a], i[a], j[a])
-                if name != cur:
-                    if held:
-                        yield solve()
-                    held, cur = [], name
-                held.append(b.slice(a, z - a))
+            held.append(b)
+            if sum(map(len, held)) < CHUNK:
+                continue
+            t = pa.Table.from_batches(held)
+            cut = cuts(t)
+            if len(cut) > 1:
+                yield from solve(t.slice(0, cut[-1]), cut[:-1])
+            held = t.slice(cut[-1]).to_batches()
         if held:
-            yield solve()
+            yield from solve(t := pa.Table.from_batches(held), cuts(t))
 
     found = stored(met.mapInArrow(verify, "u long, v long, n long"), "vector-links")
     comp = components(found.select("u", "v"), "vector-cc")
@@ -299,6 +341,4 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
 
 
 def pc_filter(t: pa.Table, asks: bool) -> pa.Table:
-    import pyarrow.compute as pc
-
     return t.filter(pc.equal(t.column("asks"), asks)).combine_chunks()

@@ -347,6 +347,28 @@ def test_estimates_are_unbiased():
     assert abs(err.mean()) < 0.002 and (np.abs(err) <= half[None, :]).mean() > 0.999
 
 
+def test_groups_of_vectors_are_verified_together():
+    """Links of many groups at once, small, large and cut into parts, against each group alone; a pair counts in the first band where it meets."""
+    rng = np.random.default_rng(8)
+    n, dim = 5000, 16
+    sizes = np.array([1, 3, 3, 40, vectors.SMALL + 1, 7, 2, vectors.TILE + 50, 40])
+    starts = np.cumsum(sizes) - sizes
+    near = rng.standard_normal((12, dim))
+    x = near[rng.integers(0, 12, sizes.sum())] + 0.25 * rng.standard_normal((sizes.sum(), dim))
+    own, mixed = rng.integers(0, 2, len(x)), np.arange(len(sizes)) % 3 == 2
+    band = np.repeat(np.array([0, 1, 0, 2, 3, 0, 5, 1, 0]), sizes)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    c = vectors.codes(u, *vectors.banding(n, dim, 0.9))
+    want = set()
+    for a, k, cross in zip(starts, sizes, mixed, strict=True):
+        for i in range(a, a + k):
+            j = np.arange(i + 1, a + k)
+            ok = (u[j] @ u[i] >= 0.9) & ~(c[j, : band[a]] == c[i, : band[a]]).any(1) & (~cross | (own[j] != own[i]))
+            want |= {(i, int(v)) for v in j[ok]}
+    i, j = vectors._links(x, starts, sizes, band, own, mixed, n, 0.9)
+    assert len(want) > 1000 and len(i) == len(want) and set(zip(i.tolist(), j.tolist(), strict=True)) == want
+
+
 def test_repeated_passages_against_counting(spark):
     """Every passage of so many words counted, in texts that share runs of words of all lengths; also with texts cut into pieces."""
     rng = random.Random(21)
