@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..core.store import components, dropped, shared_dir, stored
 
-__all__ = ["BASE", "INV", "TABLE", "bounded_batches", "components", "crc_of_id", "dropped", "keyed", "mix", "powers", "shared_dir", "slices", "stored", "tables"]
+__all__ = ["BASE", "INV", "TABLE", "bounded_batches", "components", "crc_of_id", "dropped", "keyed", "lean", "mix", "powers", "shared_dir", "slices", "stored", "tables"]
 
 
 #: Bytes of an Arrow batch on its way to Python, where the session doesn't name another bound.
@@ -26,6 +26,31 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def lean(f):
+    """f over Arrow batches; when a task ends, what its worker holds but doesn't use goes back to the system, as idle workers stay beside the next stage."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            released()
+
+    return run
+
+
+def released() -> None:
+    """Give back free memory of Arrow's pool and of the C library."""
+    import ctypes
+    import gc
+
+    tables.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # other C libraries have none
+    if trim:
+        trim(0)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and rk, a 64-bit key of both. Rows equal in doc_id and text share rk and are treated as one document."""
     bounded_batches(docs.sparkSession)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TABLE, dropped, keyed, mix, slices, stored, tables
+from .common import TABLE, dropped, keyed, lean, mix, slices, stored, tables
 
 MIN_LENGTH, GRAM = 400, 48
 _T = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -187,7 +187,7 @@ def repeated_spans(docs: DataFrame, length: int = MIN_LENGTH) -> DataFrame:
                     ids = np.array([x for x, *_ in held], np.int64)[own] if len(own) else own
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a.view(np.int64), c.view(np.int64), ids, first + at, last + at, pos + at)], names=["a", "c", "rk", "first", "last", "pos"])
 
-    ctx = stored(text.mapInArrow(find, "a long, c long, rk long, first long, last long, pos long"), "contexts")
+    ctx = stored(text.mapInArrow(lean(find), "a long, c long, rk long, first long, last long, pos long"), "contexts")
     # stored, so that the join deals out contexts by itself and can split a common anchor
     anchors = stored(ctx.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("n > 1").select("a", (F.col("lo") != F.col("hi")).alias("mixed")), "anchors")
     occ = stored(ctx.join(anchors, "a"), "occurrences")
@@ -221,7 +221,7 @@ def repeated_spans(docs: DataFrame, length: int = MIN_LENGTH) -> DataFrame:
     def _rows(out):
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names=names)
 
-    found = stored(text.join(want, "rk").mapInArrow(cut, "core long, cell long, n long, rk long, start long, left binary, right binary"), "cells")
+    found = stored(text.join(want, "rk").mapInArrow(lean(cut), "core long, cell long, n long, rk long, start long, left binary, right binary"), "cells")
     per = found.groupBy("core").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k")).filter("total > 1")
     open_ = found.join(per, "core").select(*names, (F.col("k") > HOT_CELLS).alias("hot"))
     dealt = open_.filter("not hot").repartition("core").sortWithinPartitions("core", "cell", "rk", "start")
@@ -280,10 +280,10 @@ def repeated_spans(docs: DataFrame, length: int = MIN_LENGTH) -> DataFrame:
                 cols = list(zip(*out, strict=True)) if out else [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["h", "n", "rk", "s"])
 
-    strings = open_.filter("hot").mapInArrow(hashed, "h long, n long, rk long, s long")
+    strings = open_.filter("hot").mapInArrow(lean(hashed), "h long, n long, rk long, s long")
     twice = strings.groupBy("h").agg(F.sum("n").alias("total")).filter("total > 1").select("h")
     hot = strings.filter("n = 1").join(twice, "h").select("rk", "s", (F.col("s") + length).alias("e"))
-    return full.unionByName(dealt.mapInArrow(decide, "rk long, s long, e long")).unionByName(hot)
+    return full.unionByName(dealt.mapInArrow(lean(decide), "rk long, s long, e long")).unionByName(hot)
 
 
 def passages(buf: np.ndarray, off: np.ndarray, words: int, gram: int = WORD_GRAM) -> tuple[np.ndarray, ...]:
@@ -376,7 +376,7 @@ def repeated_passages(docs: DataFrame, words: int) -> DataFrame:
                     keep = n > 0
                     yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, n, key, s, e)], names=["h", "n", "rk", "s", "e"])
 
-    runs = stored(text.mapInArrow(find, "a long, c long, rk long, pos long, s long, e long"), "runs")
+    runs = stored(text.mapInArrow(lean(find), "a long, c long, rk long, pos long, s long, e long"), "runs")
     anchors = stored(runs.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("n > 1").select("a", (F.col("lo") != F.col("hi")).alias("mixed")), "word-anchors")
     occ = stored(runs.join(anchors, "a"), "run-occurrences")
     dropped(anchors)
@@ -384,7 +384,7 @@ def repeated_passages(docs: DataFrame, words: int) -> DataFrame:
     distinct = stored(occ.filter("mixed").groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rk", "pos", "s")).alias("w")), "run-kinds")
     full = occ.filter("not mixed").select("rk", "s", "e").unionByName(occ.filter("mixed").join(distinct.filter("n > 1").select("a", "c"), ["a", "c"]).select("rk", "s", "e"))
     want = distinct.groupBy(F.col("w.rk").alias("rk")).agg(F.collect_list(F.struct("w.pos", "w.s", F.least(F.col("n"), F.lit(2)).cast("long").alias("n"))).alias("runs"))
-    found = stored(text.join(want, "rk").mapInArrow(cut, "h long, n long, rk long, s long, e long"), "passages")
+    found = stored(text.join(want, "rk").mapInArrow(lean(cut), "h long, n long, rk long, s long, e long"), "passages")
     twice = stored(found.groupBy("h").agg(F.sum("n").alias("total")).filter("total > 1").select("h"), "passages-twice")
     return full.unionByName(found.filter("n = 1").join(twice, "h").select("rk", "s", "e"))
 
@@ -432,7 +432,7 @@ def without_repeats(docs: DataFrame, length: int = MIN_LENGTH, words: int | None
                     out.append(row)
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * len(schema), schema, strict=True)], schema=schema)
 
-    return docs.select("rk", "doc_id", "text").join(spans, "rk", "left").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary" + ", n_passages long, clean_text string" * bool(more))
+    return docs.select("rk", "doc_id", "text").join(spans, "rk", "left").mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary" + ", n_passages long, clean_text string" * bool(more))
 
 
 def _left(raw: bytes, cut: list[tuple[int, int]]) -> bytes:
@@ -449,17 +449,15 @@ def cut_repeats(docs: DataFrame, length: int = MIN_LENGTH, words: int | None = N
         spans = spans.unionByName(repeated_passages(keyed(docs), words))
     spans = spans.groupBy("rk").agg(F.collect_set(F.struct("s", "e")).alias("__spans")).withColumnRenamed("rk", "__rk")
 
-    @F.pandas_udf("string")
-    def cut(texts, spans):
-        import pandas as pd
-
-        out = []
-        for t, s in zip(texts, spans, strict=True):
-            if t is None or s is None:
-                out.append(t)
-                continue
-            raw = t.encode()
-            out.append(_left(raw, _merged([(x["s"], x["e"]) for x in s], len(raw))).decode("utf-8", "ignore"))
-        return pd.Series(out, dtype=object)
-
-    return keys.join(spans, "__rk", "left").withColumn("text", cut(F.col("text").cast("string"), F.col("__spans"))).select(*own)
+    def cut(batches):
+        for batch in batches:
+            for b in slices(batch, "__text", 2 << 20):
+                out = []
+                for t, spans in zip(b.column("__text"), b.column("__spans"), strict=True):
+                    raw = t.as_buffer().to_pybytes() if t.is_valid else None
+                    out.append(raw if raw is None or not spans.is_valid else _left(raw, _merged([(x["s"], x["e"]) for x in spans.as_py()], len(raw))).decode("utf-8", "ignore").encode())
+                text = pa.array(out, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([text if c == "text" else b.column(c) for c in own], names=own)
+
+    schema = ", ".join(f"`{c}` {'string' if c == 'text' else kind}" for c, kind in docs.dtypes)
+    return keys.join(spans, "__rk", "left").withColumn("__text", F.col("text").cast("string")).drop("__rk", "text").withColumn("text", F.lit(None).cast("string")).select(*own, "__text", "__spans").mapInArrow(lean(cut), schema)

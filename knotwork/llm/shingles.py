@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, INV, TABLE, components, dropped, keyed, mix, powers, slices, stored, tables
+from .common import BASE, INV, TABLE, components, dropped, keyed, lean, mix, powers, slices, stored, tables
 
 #: Shingles in HEAVY_DOCS sets or more of a block are reported as frequent, at most HEAVY_BLOCK a block; the HEAVY most frequent of all make the tail of the order.
 HEAVY_DOCS, HEAVY_BLOCK, HEAVY = 3, 4096, (1 << 16) - 1
@@ -208,7 +208,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
             top = top[np.argsort(-c[top], kind="stable")[:HEAVY_BLOCK]]
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(top), np.int32)), pa.array(v[top].view(np.int64)), pa.array(np.zeros(len(top), np.int64)), pa.array(c[top].astype(np.int64)), *[pa.nulls(len(top), pa.int64())] * WORDS, pa.nulls(len(top), pa.binary())], schema=schema)
 
-    facts = stored(text.mapInArrow(sizes, ", ".join(["kind int, a long, b long, n long", *(f"{c} long" for c in bit), "wide binary"])), "sets")
+    facts = stored(text.mapInArrow(lean(sizes), ", ".join(["kind int, a long, b long, n long", *(f"{c} long" for c in bit), "wide binary"])), "sets")
     frequent = facts.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(HEAVY).select("a").toPandas()["a"]  # HEAVY rows at most
     frequent = frequent.to_numpy(np.int64).view(np.uint64)
     up = np.argsort(frequent)
@@ -238,7 +238,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
                 keep = [not (u.is_valid and v.is_valid) or parities_differ(u.as_py(), v.as_py()) * (num + den) <= (a + b) * (den - num) for u, v, a, b in zip(xw, yw, xn, yn, strict=True)]
                 yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-        return pairs.select("x", "y", "xn", "yn", "xw", "yw").mapInArrow(reach, "x long, y long")
+        return pairs.select("x", "y", "xn", "yn", "xw", "yw").mapInArrow(lean(reach), "x long, y long")
 
     def prefixes(batches):
         for _, texts in _blocks(batches):
@@ -256,7 +256,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     # Lengths allow it, and so does what follows the shared shingle: if it is the first one that they share, no more than the rest of either set is shared.
     near = lambda a, b, i, j: (F.least(a, b) * den >= F.greatest(a, b) * num) & (F.least(F.col(a) - F.col(i), F.col(b) - F.col(j)) * (num + den) >= (F.col(a) + F.col(b)) * num)
     w = Window.partitionBy("t").orderBy("k")
-    post = text.mapInArrow(prefixes, "t long, k long, n int, p int").select("*", F.lag("k").over(w).alias("pk"), F.lead("k").over(w).alias("nk"), F.first("k").over(w).alias("fk"), F.first("n").over(w).alias("fn"), F.first("p").over(w).alias("fp"))
+    post = text.mapInArrow(lean(prefixes), "t long, k long, n int, p int").select("*", F.lag("k").over(w).alias("pk"), F.lead("k").over(w).alias("nk"), F.first("k").over(w).alias("fk"), F.first("n").over(w).alias("fn"), F.first("p").over(w).alias("fp"))
     shared = stored(post.filter("pk <> k or nk <> k"), "shared")
     first = shared.filter((F.col("fk") != F.col("k")) & near("fn", "n", "fp", "p")).select(F.col("fk").alias("x"), F.col("k").alias("y"), F.col("fn").alias("xn"), F.col("n").alias("yn")).distinct()
     first = stored(with_words(with_words(first, "x", "x"), "y", "y").filter(in_reach("xn", "yn")).select("x", "y"), "first")
@@ -342,7 +342,7 @@ def _verified(pairs: DataFrame, text: DataFrame, one: DataFrame, k: int, num: in
                 if out:
                     yield packed(out)
 
-    full = mine.mapInArrow(members, "x long, part int, other boolean, y long, members binary")
+    full = mine.mapInArrow(lean(members), "x long, part int, other boolean, y long, members binary")
     full = full.repartition("x", "part").sortWithinPartitions("x", "part", "other")
 
     def unpack(raw) -> np.ndarray:
@@ -378,7 +378,7 @@ def _verified(pairs: DataFrame, text: DataFrame, one: DataFrame, k: int, num: in
         out = decide()
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([c for _, c in out], pa.int64())], names=["x", "y"])
 
-    out = stored(full.mapInArrow(run, "x long, y long"), "links")
+    out = stored(full.mapInArrow(lean(run), "x long, y long"), "links")
     dropped(todo)
     dropped(pairs)
     return out

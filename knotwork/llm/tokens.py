@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import lean, slices
 
 #: The byte-level pattern of the vocabulary, for chunks of these characters only; other chunks go to the library.
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -285,6 +285,6 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
         yield from out()
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = read.mapInArrow(postings, "token string, block long, salt long, docs binary").repartition("token", "salt")
-    parts = dealt.mapInArrow(summed, "block long, facts boolean, sums binary").repartition("block").sortWithinPartitions("block", F.desc("facts"))
-    return parts.mapInArrow(counted, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    dealt = read.mapInArrow(lean(postings), "token string, block long, salt long, docs binary").repartition("token", "salt")
+    parts = dealt.mapInArrow(lean(summed), "block long, facts boolean, sums binary").repartition("block").sortWithinPartitions("block", F.desc("facts"))
+    return parts.mapInArrow(lean(counted), "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

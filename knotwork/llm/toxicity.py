@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc_of_id, dropped, slices, stored
+from .common import bounded_batches, crc_of_id, dropped, lean, slices, stored
 
 #: Documented bounds of the labelled sample and of what is learned from it.
 SAMPLE_ROWS, LEARNED_STEMS, MIN_POSITIVE, MIN_PRECISION = 12_000, 600, 8, 0.9
@@ -170,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
                 f = [g.features(t).astype(int).tolist() for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(f, pa.list_(pa.int64()))], names=["toxic", "f"])
 
-    got = s.select("text", "toxic").mapInArrow(run, "toxic int, f array<long>").groupBy("toxic", "f").count().collect()
+    got = s.select("text", "toxic").mapInArrow(lean(run), "toxic int, f array<long>").groupBy("toxic", "f").count().collect()
     dropped(s)
     return {"insults": insults, "weights": _logistic(got)}
 
@@ -216,7 +216,7 @@ def toxicity(docs: DataFrame, model: dict) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), crc_of_id().alias("id_crc"), F.col("text").cast("string").alias("text"))
-    return read.mapInArrow(run, "doc_id long, id_crc long, score double, predicted int, n_matches long")
+    return read.mapInArrow(lean(run), "doc_id long, id_crc long, score double, predicted int, n_matches long")
 
 
 def held_out_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -229,15 +229,13 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, all columns kept, that toxicity doesn't reject. Null and empty texts stay, repeated rows stay or go together; an empty table stays empty."""
     bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels.filter(crc_of_id() % 5 != 0)))
-    state: dict = {}
 
-    @F.pandas_udf("boolean")
-    def rejected(texts):
-        if not state:
-            state["g"], state["w"] = Grammar(model.value["insults"]), np.array(model.value["weights"])
-        f = np.array([state["g"].features(t) for t in texts]).reshape(len(texts), len(EVENTS))
-        import pandas as pd
-
-        return pd.Series(np.log1p(f) @ state["w"][:-1] + state["w"][-1] >= 0)
+    def run(batches):
+        g, w = Grammar(model.value["insults"]), np.array(model.value["weights"])
+        for batch in batches:
+            for b in slices(batch, "__text", 1 << 20, 4096):
+                f = np.array([g.features(t) for t in b.column("__text").to_pylist()]).reshape(len(b), len(EVENTS))
+                yield b.filter(pa.array(np.log1p(f) @ w[:-1] + w[-1] < 0)).select(own)
 
-    return docs.filter(~rejected(F.col("text").cast("string")))
+    own = docs.columns
+    return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(lean(run), docs.schema)

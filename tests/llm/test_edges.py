@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from knotwork.llm import langid, linededup, packing, pieces, queries, repeats, shingles, tokens, toxicity, vectors
+from knotwork.llm import common, langid, linededup, packing, pieces, queries, repeats, shingles, tokens, toxicity, vectors
 from knotwork.llm.queries import tokenizer_file
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -94,6 +94,23 @@ def test_token_counts_of_many_rows_in_a_batch(spark):
     assert out.loc[range(70_000)].tolist() == want
 
 
+def test_workers_give_memory_back():
+    """Tables of rolling hashes go with the task, also where it is broken off."""
+    for end in (list, next):
+        common.tables()
+        end(got := common.lean(lambda batches: (b + 1 for b in batches))(iter([1, 2])))
+        got.close()
+        assert common.tables.cache_info().currsize == 0
+
+
+def test_stages_run_without_pandas(spark, sf):
+    """Texts go through workers in slices, not as pandas columns of a whole batch."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.cut_passages):
+        plan = stage(spark, docs, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+
+
 def test_other_tokenizers_are_refused(spark):
     with pytest.raises(Exception, match="byte-level"):
         tokens.token_counts(spark.createDataFrame([(1, "a")], "doc_id long, text string"), tokenizer_file("word_bpe_49k.json")).count()
