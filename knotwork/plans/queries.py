@@ -551,7 +551,9 @@ def articulation(spark, sf_dir):
 def mst_total(spark, sf_dir):
     # on a line the least edges join neighbours
     e = near_pairs(spark, sf_dir, 1).withColumn("eid", F.shiftleft("u", 31) + F.col("v"))
-    return A.minimum_spanning_forest(e).agg(F.sum("len").alias("total"))
+    # each supplier by itself is a tree of length 0, or null without a balance
+    alone = supplier_line(spark, sf_dir).select((F.col("x") - F.col("x")).alias("len"))
+    return A.minimum_spanning_forest(e).select("len").unionByName(alone).agg(F.sum("len").alias("total"))
 
 
 @query(f"""with recursive {NF}, c as (select src, dst, len from nf where src < 6 and dst < 6), p(k, used, total) as (select 0, [-1]::bigint[], 0::hugeint union all select k + 1, list_append(used, dst), total + len from p join c on src = k where not list_contains(used, dst))

@@ -140,6 +140,19 @@ def test_supplier_graphs_take_all_suppliers(spark, tmp_path):
     assert {r.vid: r.dist for r in Q.shortest_paths(spark, str(tmp_path)).collect()} == {v: abs(x[1] - x[v]) for v in x}
 
 
+@pytest.mark.parametrize("balances", [[], [None], [12.5], [12.5, None], [None, -3.0, 12.5, None]])
+def test_mst_total_of_few_suppliers_is_that_of_its_sql(spark, tmp_path, balances):
+    """A supplier alone makes a total of 0, and one without a balance doesn't count."""
+    import duckdb
+
+    from knotwork.plans import queries as Q
+
+    spark.createDataFrame(list(enumerate(balances, 1)), "s_suppkey long, s_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    with duckdb.connect() as c:
+        c.execute(f"create view supplier as select * from '{tmp_path}/supplier.parquet/*.parquet'")
+        assert [tuple(r) for r in Q.mst_total(spark, str(tmp_path)).collect()] == c.execute(Q.ORACLE["mst_total"]).fetchall()
+
+
 def test_assignment_brute_force():
     rng = np.random.default_rng(3)
     for shape in ((4, 4), (3, 6), (6, 3)):
