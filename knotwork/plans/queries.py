@@ -9,7 +9,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..core.graph import numbered
 from ..core.rng import draws, linksort_frame
+from ..core.store import stored
 from ..operators import algorithms as A
 from ..operators import circuits as C
 from ..operators import generators as G
@@ -381,10 +383,18 @@ def near_pairs(spark, sf_dir, k):
     return pairs.unionByName(same).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), F.abs(F.col("ax") - F.col("bx")).alias("len")).distinct()
 
 
-def supplier_pairs(spark, sf_dir):
-    s = supplier_line(spark, sf_dir)
-    t = s.select(F.col("u").alias("v"), F.col("x").alias("y"))
-    return s.join(t, F.col("u") < F.col("v")).select("u", "v", F.abs(F.col("x") - F.col("y")).alias("len"))
+def supplier_steps(spark, sf_dir):
+    """Edges (u, v, len) in order of balances: from each supplier whose place is a multiple of 16 ** k to the next 15 such places, for all k.
+
+    Costs add up along a line, so distances are those of the graph of all pairs, over at most 2 log16 n + 1 edges, of which there are some 16 n.
+    """
+    s = numbered(supplier_line(spark, sf_dir).filter("x is not null"), ["x", "u"], "p")
+    n, step, levels = s.count(), 1, []
+    while step < n or not levels:
+        levels.append(s.filter(F.col("p") % step == 0).select("u", "x", F.explode(F.sequence(F.col("p") + step, F.col("p") + 15 * step, F.lit(step).cast("long"))).alias("p")))
+        step *= 16
+    ahead = s.select(F.col("u").alias("v"), F.col("x").alias("y"), "p")
+    return functools.reduce(DataFrame.unionByName, levels).join(ahead, "p").select("u", "v", (F.col("y") - F.col("x")).alias("len"))
 
 
 @query(f"""with {COST}, n as (select * from pr where len <= 100000), e as (select u as a, v as b, len from n union all select v, u, len from n),
@@ -655,6 +665,10 @@ def linksort_whole(spark, sf_dir):
 
 @query(f"with {COST} select v as vid, min(len) as dist from (select v, len from pr where u = 1 union all select u, len from pr where v = 1 union all select 1, 0) group by 1")
 def shortest_paths(spark, sf_dir):
-    e = supplier_pairs(spark, sf_dir)
-    arcs = e.select(F.col("u").alias("src"), F.col("v").alias("dst"), "len").unionByName(e.select(F.col("v").alias("src"), F.col("u").alias("dst"), "len"))
-    return A.shortest_paths(arcs, 1).select("vid", "dist")
+    e = supplier_steps(spark, sf_dir)
+    arcs = stored(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "len")).select(F.col("u").alias("src"), F.col("v").alias("dst"), "len"), "steps")
+    found = A.shortest_paths(arcs, 1).select("vid", "dist")
+    # without a balance, its own or the source's, a supplier's distance is null
+    s = supplier_line(spark, sf_dir).select(F.col("u").alias("vid"))
+    lost = s.join(found, "vid", "left_anti").crossJoin(s.filter("vid = 1").distinct().select(F.lit(None).cast("long").alias("dist")))
+    return found.unionByName(lost)

@@ -153,6 +153,39 @@ def test_mst_total_of_few_suppliers_is_that_of_its_sql(spark, tmp_path, balances
         assert [tuple(r) for r in Q.mst_total(spark, str(tmp_path)).collect()] == c.execute(Q.ORACLE["mst_total"]).fetchall()
 
 
+def test_supplier_paths_take_few_arcs(spark, tmp_path, monkeypatch):
+    """Distances of all pairs from arcs in proportion to the suppliers, and null to those without a balance."""
+    from knotwork.plans import queries as Q
+
+    rng = np.random.default_rng(7)
+    x = {int(u): int(c) for u, c in zip(rng.permutation(600) + 1, rng.integers(-90_000, 900_000, 600), strict=True)}
+    spark.createDataFrame([*((u, c / 100) for u, c in x.items()), (700, None), (701, None)], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    search = A.shortest_paths
+
+    def counted(arcs, source):
+        assert arcs.count() <= 40 * len(x)
+        return search(arcs, source)
+
+    monkeypatch.setattr(A, "shortest_paths", counted)
+    got = Q.shortest_paths(spark, str(tmp_path)).collect()
+    assert {r.vid: r.dist for r in got} == {v: abs(x[1] - x[v]) for v in x} | {700: None, 701: None}
+    assert len(got) == 602
+
+
+@pytest.mark.parametrize("suppliers", [[], [(1, 5.0)], [(1, None), (2, 1.5)], [(2, 1.5), (3, 2.5)], [(1, 2.5), (2, None), (3, -0.5)], [(1, 2.5), (2, None), (3, None)]])
+def test_supplier_paths_of_few_suppliers_are_those_of_their_sql(spark, tmp_path, suppliers):
+    """With null balances the search must end."""
+    import duckdb
+
+    from knotwork.plans import queries as Q
+
+    spark.createDataFrame(suppliers, "s_suppkey long, s_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    with duckdb.connect() as c:
+        c.execute(f"create view supplier as select * from '{tmp_path}/supplier.parquet/*.parquet'")
+        want = c.execute(Q.ORACLE["shortest_paths"]).fetchall()
+    assert sorted(tuple(r) for r in Q.shortest_paths(spark, str(tmp_path)).collect()) == sorted(want)
+
+
 def test_assignment_brute_force():
     rng = np.random.default_rng(3)
     for shape in ((4, 4), (3, 6), (6, 3)):
