@@ -369,8 +369,8 @@ COST = "pr as (select a.s_suppkey as u, b.s_suppkey as v, abs(cast(round(a.s_acc
 
 
 def supplier_line(spark, sf_dir):
-    """All suppliers u by their balance x in cents."""
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("u"), F.round(F.col("s_acctbal") * 100).cast("long").alias("x"))
+    """All suppliers u by their balance x in cents; those without a number can't be vertices."""
+    return table(spark, sf_dir, "supplier").filter("s_suppkey is not null").select(F.col("s_suppkey").alias("u"), F.round(F.col("s_acctbal") * 100).cast("long").alias("x"))
 
 
 def near_pairs(spark, sf_dir, k):

@@ -186,6 +186,21 @@ def test_supplier_paths_of_few_suppliers_are_those_of_their_sql(spark, tmp_path,
     assert sorted(tuple(r) for r in Q.shortest_paths(spark, str(tmp_path)).collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("suppliers", [[(None, 5.0)], [(1, 5.0), (None, 5.0), (None, None)], [*((u, 7.0 * (u % 9)) for u in range(1, 25)), *((None, 7.0 * u + c) for u in range(9) for c in (-1, -0.01, 0, 0, 0, 0, 0, 0.01, 1))]])
+@pytest.mark.parametrize("name", ["degree_cap", "mst_total", "shortest_paths"])
+def test_suppliers_without_number_take_no_part(spark, tmp_path, name, suppliers):
+    """As in the SQL, and they take no place from others."""
+    import duckdb
+
+    from knotwork.plans import queries as Q
+
+    spark.createDataFrame(suppliers, "s_suppkey long, s_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    with duckdb.connect() as c:
+        c.execute(f"create view supplier as select * from '{tmp_path}/supplier.parquet/*.parquet'")
+        want = c.execute(Q.ORACLE[name]).fetchall()
+    assert sorted(tuple(r) for r in Q.QUERIES[name](spark, str(tmp_path)).collect()) == sorted(want)
+
+
 def test_assignment_brute_force():
     rng = np.random.default_rng(3)
     for shape in ((4, 4), (3, 6), (6, 3)):
