@@ -26,6 +26,13 @@ _SAFE = re.compile(rf"[ -~\n\t\r{_L}]*")
 _PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\s{_L}0-9]+|\s+(?!\S)|\s+")
 #: Where cutting before a space isn't safe: white space after it, or nothing.
 _UNSAFE = r" [\s\p{Z}\x0b\x1c-\x1f\x{85}]| \z"
+#: Classes of the bytes of texts that hold characters of the pattern only: letter (both bytes of those beyond ASCII), digit, other, space, other white space.
+_LETTER, _DIGIT, _OTHER, _SPACE, _WHITE = range(5)
+_CLASS = np.full(256, _LETTER, np.uint8)
+for _b in range(128):
+    _c = chr(_b)
+    _CLASS[_b] = _DIGIT if _c.isdigit() else _LETTER if _c.isalpha() else _SPACE if _c == " " else _WHITE if _c in "\n\t\r" else _OTHER
+_BEYOND = rf"[^ -~\n\t\r{_L}]"
 #: Bytes of texts and rows that are reduced together; rows of a block are numbered in 16 bits.
 BLOCK_BYTES, BLOCK_DOCS = 8 << 20, 60_000
 OPEN_BLOCKS = 256
@@ -75,13 +82,84 @@ class _Splitter:
         return got
 
 
+def _starts(buf: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where pre-tokens start in the bytes of texts of the pattern's characters, one text after another; first: where non-empty texts start.
+
+    A pre-token is a run of one class with the one space before it; of a longer run of white space before something the
+    last character stands apart, or is that space; an apostrophe that begins a pre-token takes s, t, re, ve, m, ll or d.
+    """
+    n = len(buf)
+    kind = _CLASS[buf]
+    begin = np.zeros(n + 1, bool)
+    begin[first] = begin[n] = True
+    white = kind >= _SPACE
+    cut = begin[:-1].copy()
+    cut[1:] |= (kind[1:] != kind[:-1]) & ~(white[1:] & white[:-1]) & (kind[:-1] != _SPACE)
+    at = np.flatnonzero(white)
+    ends = begin[at + 1]
+    after = at[~ends]
+    cut[after[~white[after + 1]]] = True
+    at = np.flatnonzero(buf == 39)
+    at = at[cut[at] & ~begin[at + 1]]
+    one = buf[at + 1]
+    two = np.where(begin[at + 2], 0, buf[np.minimum(at + 2, n - 1)]) if len(at) else one
+    short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    long = ((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)
+    cut[at[short | long] + 1] = False
+    to = np.concatenate([at[short] + 2, at[long] + 3])
+    cut[to[to < n]] = True
+    return np.flatnonzero(cut)
+
+
+def _runs(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Of texts of the pattern's characters: distinct pre-tokens, number of each pre-token's string, pre-tokens of each text."""
+    texts = pa.concat_arrays([texts]) if texts.offset else texts
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    off = np.frombuffer(texts.buffers()[1], wide)[: len(texts) + 1].astype(np.int64)
+    buf = np.frombuffer(texts.buffers()[2], np.uint8)[off[0] : off[-1]] if off[-1] > off[0] else np.zeros(0, np.uint8)
+    off -= off[0]
+    at = _starts(buf, off[:-1][np.diff(off) > 0])
+    ends = np.append(at, len(buf)).astype(np.int32)
+    each = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(buf)]).dictionary_encode()
+    return each.dictionary, each.indices.to_numpy(), np.diff(np.searchsorted(at, off))
+
+
 def _block(split: _Splitter, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """Of non-null texts: the distinct pre-tokens, and by (pre-token, document) sorted arrays of both and the frequency."""
+    """Of non-null texts: the distinct pre-tokens, and by (pre-token, document) sorted arrays of both and the frequency.
+
+    Texts of the pattern's characters without special strings are cut by classes of bytes; of the others, those in which
+    cutting before each space is safe go by chunks, the rest whole.
+    """
+    match = lambda x, pattern: pc.match_substring_regex(x, pattern).to_numpy(zero_copy_only=False)
+    named = "|".join(map(re.escape, split.names))
+    other = match(texts, _BEYOND)
+    if named:
+        other |= match(texts, named)
+    known, toks = pa.array([], pa.string()), []  # toks: pre-token and, in the lower 16 bits, document
+    at = np.flatnonzero(~other)
+    if len(at):
+        known, code, n = _runs(texts.take(pa.array(at)))
+        toks.append(code.astype(np.int64) << 16)
+        toks[-1] |= np.repeat(at, n)
+    at = np.flatnonzero(other)
+    if len(at):
+        names, tok = _slow(split, texts.take(pa.array(at)), at)
+        both = pa.concat_arrays([known, names]).dictionary_encode()
+        new = both.indices.to_numpy().astype(np.int64)[len(known) :]  # those known keep their numbers
+        toks.append(new[tok >> 16] << 16 | tok & 0xFFFF)
+        known = both.dictionary
+    if not toks:
+        return known, *(np.zeros(0, np.int64),) * 3
+    pair, freq = np.unique(np.concatenate(toks), return_counts=True)
+    return known, pair >> 16, pair & 0xFFFF, freq
+
+
+def _slow(split: _Splitter, texts: pa.Array, number: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Distinct pre-tokens of texts of any kind, and for each pre-token its place there and, in the lower 16 bits, its text's number."""
     odd = pc.match_substring_regex(texts, "|".join([_UNSAFE, *map(re.escape, split.names)])).to_numpy(zero_copy_only=False)
-    plain = ~odd
     vocab: dict[str, int] = {}
-    toks = []  # pre-token and, in the lower 16 bits, document
-    at = np.flatnonzero(plain)
+    toks = []
+    at = np.flatnonzero(~odd)
     if len(at):
         parts = pc.split_pattern(texts.take(pa.array(at)), " ")
         lens = pc.list_value_length(parts).to_numpy()
@@ -104,20 +182,17 @@ def _block(split: _Splitter, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.
         n = width[inverse]
         where = np.repeat(start[inverse] - (np.cumsum(n, dtype=np.int32) - n), n) + np.arange(int(n.sum()), dtype=np.int32)
         toks.append(np.asarray(ids, np.int64)[where] << 16)
-        toks[-1] |= np.repeat(np.repeat(at, lens), n)
+        toks[-1] |= np.repeat(np.repeat(number[at], lens), n)
     for d in np.flatnonzero(odd):
         got = split.whole(texts[int(d)].as_py())
-        toks.append(np.fromiter((vocab.setdefault(x, len(vocab)) for x in got), np.int64, len(got)) << 16 | d)
-    if not toks:
-        return pa.array([], pa.string()), *(np.zeros(0, np.int64),) * 3
-    pair, freq = np.unique(np.concatenate(toks), return_counts=True)
-    return pa.array(list(vocab), pa.string()), pair >> 16, pair & 0xFFFF, freq
+        toks.append(np.fromiter((vocab.setdefault(x, len(vocab)) for x in got), np.int64, len(got)) << 16 | number[d])
+    return pa.array(list(vocab), pa.string()), np.concatenate(toks)
 
 
 def _packed(tok: np.ndarray, doc: np.ndarray, freq: np.ndarray) -> pa.Array:
     """A byte string for each pre-token: count of documents with it once, these as uint16, then others, then their frequencies as uint32."""
     many = freq > 1
-    order = np.lexsort((doc, many, tok))
+    order = np.argsort(tok << 17 | many.astype(np.int64) << 16 | doc)
     tok, doc, freq, many = tok[order], doc[order].astype("<u2"), freq[order].astype("<u4"), many[order]
     n = int(tok[-1]) + 1 if len(tok) else 0
     total, more = np.bincount(tok, minlength=n), np.bincount(tok, weights=many, minlength=n).astype(np.int64)
@@ -165,8 +240,9 @@ _BYTES = _byte_chars()
 
 def count_pieces(tok, special: set[str], names: list[str]) -> dict[str, int]:
     """Pieces of each pre-token; its bytes go to the merge table directly."""
-    cut = tok.model.tokenize
-    return {x: 1 if x in special else len(cut(x.encode().decode("latin-1").translate(_BYTES))) for x in names}
+    cut, space = tok.model.tokenize, _BYTES[32]
+    shown = lambda x: x.replace(" ", space) if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(_BYTES)
+    return {x: 1 if x in special else len(cut(shown(x))) for x in names}
 
 
 #: A row with a null token holds a block's documents: id, null flag and bytes of each as three runs of long.
@@ -237,7 +313,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
             if not len(b):
                 continue
             enc = b.column("token").dictionary_encode()
-            names = enc.dictionary.to_pylist()
+            names = enc.dictionary.to_numpy(zero_copy_only=False).tolist()
             new = [x for x in names if x not in pieces]
             if len(pieces) + len(new) > KNOWN_TOKENS:
                 pieces.clear()

@@ -94,6 +94,32 @@ def test_token_counts_of_many_rows_in_a_batch(spark):
     assert out.loc[range(70_000)].tolist() == want
 
 
+def test_plain_texts_are_cut_without_the_splitter():
+    """Texts of the pattern's characters are cut by classes of bytes, in the library's way; others still go to the splitter."""
+    import pyarrow as pa
+
+    with open(tokenizer_file("byte_bpe_50k.json"), encoding="utf-8") as f:
+        split = tokens._Splitter(f.read())
+    rng = np.random.default_rng(4)
+    some = [*"''''strevemldSx1 2  \n\t\r.!éÑ", "'s", "'re", "'ve", "'ll", " '", "  "]
+    plain = ["", " ", "  ", "'", "'s", "x'l", "it's", "''s", " 's", "a\n's", "'s't", "x  ", "  x", "\n x", " \nx", *("".join(rng.choice(some, rng.integers(0, 25))) for _ in range(600))]
+
+    def counted(texts):
+        names, tok, doc, freq = tokens._block(split, pa.array(texts, pa.string()))
+        names = names.to_pylist()
+        assert len(set(names)) == len(names) and (np.diff(tok << 16 | doc) > 0).all()
+        out = [collections.Counter() for _ in texts]
+        for t, d, n in zip(tok.tolist(), doc.tolist(), freq.tolist(), strict=True):
+            out[d][names[t]] += n
+        return out
+
+    mixed = [*plain[:40], "日本語 it's  x", "x × y÷2", "a\x0b b", *plain[40:80], "<|endoftext|> it's", "1² 　x "]
+    assert counted(mixed) == [collections.Counter(split.whole(x)) for x in mixed]
+    want = [collections.Counter(split.whole(x)) for x in plain]
+    split.chunk = split.whole = None
+    assert counted(plain) == want
+
+
 def test_workers_give_memory_back():
     """Tables of rolling hashes go with the task, also where it is broken off."""
     for end in (list, next):
